@@ -18,9 +18,6 @@ without labelled lines all states are alike and the first role wins.
 
 from __future__ import annotations
 
-import math
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -133,7 +130,7 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray], per: int = BLOCK) ->
     rows = observe(lines.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("line_no").cast("long").alias("line_no"), F.coalesce("text", F.lit("")).alias("text")))
     rows = rows.withColumn("block", F.expr(f"line_no div {per}"))
 
-    def summarise(key, table: pa.Table) -> pa.Table:
+    def summarise(key, table):
         table = table.sort_by([("line_no", "ascending"), ("text", "ascending")])
         obs, m = table["obs"].to_numpy(), shared.value
         start = m["start"] + m["emit"][:, obs[0]]
@@ -143,7 +140,7 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray], per: int = BLOCK) ->
 
     sums = materialise(rows.select("conv_id", "block", "line_no", "text", "obs").groupBy("conv_id", "block").applyInArrow(summarise, "conv_id long, block long, m array<double>, start array<double>"), "chat-blocks")
 
-    def borders(key, table: pa.Table) -> pa.Table:
+    def borders(key, table):
         table = table.sort_by("block")
         ms = [np.array(x).reshape(K, K) for x in table["m"].to_pylist()[1:]]
         ends = chain(ms, np.array(table["start"][0].as_py()))
@@ -153,7 +150,7 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray], per: int = BLOCK) ->
     known = materialise(sums.groupBy("conv_id").applyInArrow(borders, "conv_id long, block long, before int, end int"), "chat-borders")
     both = rows.join(known.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "before", "end"), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
 
-    def backtrace(key, table: pa.Table) -> pa.Table:
+    def backtrace(key, table):
         table = table.sort_by([("line_no", "ascending"), ("text", "ascending")])
         states = trace(table["obs"].to_numpy(), shared.value, table["before"][0].as_py(), table["end"][0].as_py())
         return pa.table({"conv_id": table["conv_id"], "line_no": table["line_no"], "text": table["text"], "role": pa.array([STATES[s][0] for s in states]), "first": pa.array([STATES[s][1] for s in states])})
@@ -206,10 +203,3 @@ def transcript_lines(turns: DataFrame, unmarked: int = 4) -> DataFrame:
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.posexplode(F.split(F.concat(F.coalesce(mark, F.lit("")), F.coalesce("text", F.lit(""))), "\n")).alias("k", "text"))
     return rows.select("conv_id", "turn", F.least("k", F.lit(LINES_PER_TURN - 1)).alias("k"), "role", "text", (F.col("k") == 0).alias("first"))
 
-
-def regex() -> re.Pattern:
-    return re.compile(MARKER)
-
-
-def log(x: float) -> float:
-    return math.log(x)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 4096
 _LETTER = re.compile(r"[^\W\d_]")
+_REST = re.compile(r"[\W\d_]+")
 
 
 def learn(labelled: DataFrame, samples: int = 48, per_sample: int = 65_536) -> list[tuple[str, bytes, int]]:
@@ -46,10 +47,10 @@ def learn(labelled: DataFrame, samples: int = 48, per_sample: int = 65_536) -> l
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.string()))], ["lang", "h", "s"])
 
     found = part.mapInArrow(smallest, "lang string, h long, s string").groupBy("lang").agg(F.expr(f"slice(array_sort(collect_set(struct(h, s))), 1, {samples})").alias("x"))
-    return [(r["lang"], "\n".join(x["s"] for x in r["x"]).encode(), counts[r["lang"]]) for r in sorted(found.collect(), key=lambda r: (-counts[r["lang"]], r["lang"]))]
+    return [(r["lang"], "".join(letters(x["s"]) for x in r["x"]).encode(), counts[r["lang"]]) for r in sorted(found.collect(), key=lambda r: (-counts[r["lang"]], r["lang"]))]
 
 
-def compressors(model: list[tuple[str, bytes, int]], level: int = 1) -> list:
+def compressors(model: list[tuple[str, bytes, int]], level: int = 3) -> list:
     import zstandard as z
 
     out = []
@@ -60,6 +61,11 @@ def compressors(model: list[tuple[str, bytes, int]], level: int = 1) -> list:
     return out
 
 
+def letters(text: str) -> str:
+    """Words of letters in lower case, with a blank between; whatever isn't a letter tells nothing of the language."""
+    return f" {_REST.sub(' ', text.lower()).strip()} "
+
+
 def chunks(text: str, size: int = CHUNK) -> list[bytes]:
     data = text.encode()
     return [data[i : i + size] for i in range(0, len(data), size)]
@@ -69,8 +75,7 @@ def classify(text: str | None, tools: list) -> tuple[str, float, float]:
     """(language, score, margin): the margin is the share of bytes saved over the next best; the score grows from 1/2 to 1 with it."""
     if not tools or not text or not _LETTER.search(text):
         return "und", 0.0, 0.0
-    # short texts are repeated in one frame, so that whole bytes tell more
-    parts = chunks(text if len(text) >= 200 else " ".join([text] * (1 + 200 // (len(text) + 1))) if len(text) > 40 else text)
+    parts = chunks(letters(text))
     sizes = [sum(len(c.compress(p)) for p in parts) for _, c in tools]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     rest = min((s for k, s in enumerate(sizes) if k != best), default=2 * sizes[best])
@@ -78,7 +83,7 @@ def classify(text: str | None, tools: list) -> tuple[str, float, float]:
     return tools[best][0], 1 / (1 + math.exp(-60 * margin)), margin
 
 
-def predict(docs: DataFrame, model: list[tuple[str, bytes, int]], narrow: float = 0.01, level: int = 1) -> DataFrame:
+def predict(docs: DataFrame, model: list[tuple[str, bytes, int]], narrow: float = 0.005, level: int = 3) -> DataFrame:
     """doc_id, lang_pred, score, rejected (the margin is under ``narrow``) of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

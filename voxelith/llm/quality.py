@@ -49,7 +49,7 @@ def mask_of(rules) -> int:
 
 
 def measure(docs: DataFrame, *keep: str) -> DataFrame:
-    """Measurements of docs (doc_id, text); ``keep`` names further columns to carry along."""
+    """Measurements of docs (doc_id, text) and the mask of failed rules; ``keep`` names further columns to carry along."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lists = docs.select(
         "doc_id", *keep, text.alias("_t"),
@@ -77,7 +77,10 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
         F.expr("array_sort(transform(filter(sequence(1, size(_s)), i -> (i > 1 AND element_at(_s, i)._h = element_at(_s, greatest(i - 1, 1))._h) OR (i < size(_s) AND element_at(_s, i)._h = element_at(_s, least(i + 1, size(_s)))._h)), i -> element_at(_s, i)['1']))").alias("_p"),
     )
     covered = F.expr(f"coalesce({WINDOW} + aggregate(sequence(1, size(_p)), 0L, (s, i) -> s + CASE WHEN i < size(_p) THEN least({WINDOW}, element_at(_p, least(i + 1, size(_p))) - element_at(_p, i)) ELSE 0 END), 0L)")
-    return starts.select(*rest, covered.alias("n_repeat_words"))
+    counted = starts.select(*rest, covered.alias("n_repeat_words"))
+    # a generator stands between the measurements and whatever is filtered by them: a filter that moved below it would measure inside its condition
+    names = [c for c in counted.columns if c not in ("doc_id", *keep)]
+    return counted.select("doc_id", *keep, F.inline(F.array(F.struct(*names, failures().alias("failed")))))
 
 
 def failures() -> Column:
@@ -90,7 +93,7 @@ def failures() -> Column:
 
 def ledger(docs: DataFrame, *keep: str) -> DataFrame:
     """One row a document: measurements and ``failed``, the mask of all failed rules."""
-    return measure(docs, *keep).withColumn("failed", failures())
+    return measure(docs, *keep)
 
 
 def rejected(policy: str = CURRENT) -> Column:
