@@ -1 +1 @@
-"""Spark-native operators over voxel, cell, lineage and track tables."""
+"""Sources and sinks: INR, TIFF, NPY images, detections, transformations, lineage files, Tulip graphs."""
