@@ -187,14 +187,14 @@ def chamfer(fg: np.ndarray) -> np.ndarray:
 def skiz(labels: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
     """Nearest label by chamfer distance (smaller label of equals), inside a mask."""
     inside = np.ones(labels.shape, bool) if mask is None else mask
-    d = np.where((labels > 0) & inside, 0.0, np.inf)
+    d = np.where((labels > 0) & inside, 0.0, 1e18)
     lab = np.where(d == 0, labels, 0).astype(np.int64)
     big = np.iinfo(np.int64).max
     while True:
         nd, nl = d, np.where(lab > 0, lab, big)
         for o in offsets(26):
             w = (o[0] ** 2 + o[1] ** 2 + o[2] ** 2) ** 0.5
-            sd, sl = _shift(d, o, np.inf) + w, _shift(np.where(lab > 0, lab, big), o, big)
+            sd, sl = _shift(d, o, 1e18) + w, _shift(np.where(lab > 0, lab, big), o, big)
             better = inside & ((sd < nd - 1e-9) | ((abs(sd - nd) <= 1e-9) & (sl < nl)))
             nd, nl = np.where(better, sd, nd), np.where(better, sl, nl)
         nl = np.where(nl == big, 0, nl)
