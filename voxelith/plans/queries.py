@@ -13,6 +13,7 @@ from voxelith.functions import kernels as K
 from voxelith.functions import matrices as M
 from voxelith.operators import lineage as L
 from voxelith.operators import registration as R
+from voxelith.operators import stacks as S
 from voxelith.operators import tiles as T
 from voxelith.operators import tracks as D
 from voxelith.operators import voxel as V
@@ -179,3 +180,22 @@ query("segmentation_step", "vox lab", lambda a, b: P.propagate_step(_one(a), _on
 QUERIES["inr_round_trip"] = lambda spark, d: P.inr_round_trip(view(spark, d, "vox"))
 ORACLES["inr_round_trip"] = f"{ctes('vox')} SELECT x, y, z, CAST(v AS DOUBLE) AS v FROM vox"
 QUERIES["rotation_matrix"] = lambda spark, d: spark.createDataFrame([(a, i, j, round(float(M.rotation(a, 90)[i, j]), 9) + 0.0) for a in "XYZ" for i in range(4) for j in range(4)], "axis string, i int, j int, v double")
+
+# --- stacks, daughters, contacts, fields
+_two = lambda a: a.unionByName(_other(a)).unionByName(V.flip(a, "y", 32))
+_tsql = "(SELECT x, y, z, v FROM vox UNION ALL SELECT 31 - x, y, z, v FROM vox UNION ALL SELECT x, 31 - y, z, v FROM vox)"
+query("stack_median", "vox", lambda a: S.stack_filter(_two(a)), f"SELECT x, y, z, round(quantile_cont(v, 0.5), 6) AS v FROM {_tsql} GROUP BY 1, 2, 3")
+query("stack_robust_mean", "vox", lambda a: S.robust_mean(_two(a), 0.34), f"SELECT x, y, z, round(CASE WHEN count(*) = 3 THEN list_sort(list(v))[2] ELSE avg(v) END, 6) AS v FROM {_tsql} GROUP BY 1, 2, 3")
+query("zero_crossings", "vox", lambda a: S.zero_crossings(a.withColumn("v", F.col("v") - 25)), f"SELECT DISTINCT p.x, p.y, p.z FROM vox p, {N6} JOIN vox q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.v > 25 AND q.v <= 25")
+query("components_4d", "vox", lambda a: S.components_4d(a.where("v >= 49").withColumn("t", F.lit(0)).unionByName(_other(a).where("v >= 49").withColumn("t", F.lit(1))), 6), None)
+query("components_with_seeds", "vox", lambda a: S.with_seeds(T.connected_components(a.where("v >= 49"), 6, 16), a.where("v = 50 AND x < 8")), None)
+query("new_labels", "lab", lambda a: S.new_labels(a.groupBy("label").agg((F.count("*") % 3).alias("n")).withColumnRenamed("label", "cell")), ", c AS (SELECT label AS cell, count(*) % 3 AS n FROM lab GROUP BY 1) SELECT cell, CAST(2 + coalesce(sum(n) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS label, n FROM c")
+query("parcels", "vox", lambda a: S.parcels(a.where("v > 5"), [(4, 4, 2), (20, 8, 3), (10, 28, 5), (28, 28, 4)]), None)
+query("daughters_by_distance", "lab", lambda a: S.by_distance(a.where("label > 1").select((F.expr("label div 2")).alias("parent"), "label").distinct(), S.centroids(a), (0, 0, 0)), ", c AS (SELECT label, label // 2 AS parent, round(sqrt(pow(round(avg(x), 6), 2) + pow(round(avg(y), 6), 2) + pow(round(avg(z), 6), 2)), 6) AS d FROM lab WHERE label > 1 GROUP BY 1) SELECT CAST(parent AS BIGINT) AS parent, label, CAST(row_number() OVER (PARTITION BY parent ORDER BY d, label DESC) AS INT) AS rank, round(max(d) OVER (PARTITION BY parent) - min(d) OVER (PARTITION BY parent), 6) AS gap FROM c")
+query("fusion_targets_by_contact", "lab", lambda a: S.fusion_target(a, a.where("label > 3").select(F.col("label").alias("give"), (F.col("label") - 1).alias("get")).distinct().unionByName(a.where("label > 5").select(F.col("label").alias("give"), (F.col("label") - 4).alias("get")).distinct())), None)
+query("exterior_correction", "lab", lambda a: S.exterior_correction(a, a.where("label % 2 = 0").select("label").distinct(), 1), f", fg AS (SELECT x, y, z, CASE WHEN label <> 1 THEN 1 ELSE 0 END AS v FROM lab), e AS ({_spread('fg', 'min(q.v)')}), o AS ({_spread('e', 'max(q.v)')}) SELECT x, y, z, CASE WHEN label % 2 = 0 AND o.v = 0 THEN 1 ELSE label END AS label FROM lab JOIN o USING (x, y, z)")
+query("lost_to", "lab lab2", lambda a, b: S.lost_to(a, b, a.select(F.col("label").alias("mother"), F.col("label").alias("child")).distinct()), ", m AS (SELECT a.label AS mother, b.label AS label, count(*) AS n FROM lab a JOIN lab2 b USING (x, y, z) WHERE a.label <> b.label GROUP BY 1, 2) SELECT mother, label, n FROM m QUALIFY row_number() OVER (PARTITION BY mother ORDER BY n DESC, label) = 1")
+query("match_volume", "vox", lambda a: S.match_volume(a, 2000), ", h AS (SELECT v, sum(count(*)) OVER (ORDER BY v DESC) AS above FROM vox GROUP BY v) SELECT max(v) AS threshold FROM h WHERE above >= 2000")
+query("field_resample", "vox", lambda a: S.apply_field(a, a.select(*XYZ, F.lit(1.2).alias("dx"), F.lit(-0.6).alias("dy"), F.lit(0.0).alias("dz"))), "SELECT p.x, p.y, p.z, coalesce(q.v, 0) AS v FROM vox p LEFT JOIN vox q ON q.x = p.x + 1 AND q.y = p.y - 1 AND q.z = p.z")
+QUERIES["field_inverse"] = lambda spark, d: S.inverse_field(V.grid(spark, 32, 32, 7).select(*XYZ, F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz")), 2).where("x >= 4 AND x < 28").withColumns({f"d{a}": F.col(f"d{a}") + 0.0 for a in XYZ})
+ORACLES["field_inverse"] = "SELECT i % 32 AS x, i // 32 % 32 AS y, CAST(i // 1024 AS INT) AS z, CAST(-1.0 AS DOUBLE) AS dx, CAST(0.0 AS DOUBLE) AS dy, CAST(0.0 AS DOUBLE) AS dz FROM range(7168) r(i) WHERE i % 32 BETWEEN 4 AND 27"
