@@ -27,12 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, SEGMENTS, END = 2048, 256, 1
-POOL = 512
+POOL = 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _PIECE = pa.schema([(x.split(" ")[0], pa.int64()) for x in PIECE.split(", ")])
 TOKENIZERS = "/opt/tokenizers"
-_LOADED: dict[str, tuple] = {}
-_WORDS = 300_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json", folder: str = TOKENIZERS) -> str:
@@ -43,25 +41,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json", folder: str = TOKENIZERS) ->
     return public_tokenizers.path(name)
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit numbers.
+def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
+    """The ids of texts as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins over it, so each stretch between ASCII white space is encoded once and kept, in a table of bounded size.
+    The tokenizer drops white space and case. A text with what may be a special token is encoded as it stands.
     """
-    if path not in _LOADED:
-        from tokenizers import Tokenizer
-
-        _LOADED[path] = (Tokenizer.from_file(path), {})
-    tool, known = _LOADED[path]
-    parts = text.encode().split()
-    new = [p for p in dict.fromkeys(parts) if p not in known]
-    if new:
-        if len(known) > _WORDS:
-            known.clear()
-            new = list(dict.fromkeys(parts))
-        for p, e in zip(new, tool.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-    return b"".join(map(known.__getitem__, parts))
+    from .words import table
+
+    tool, raw = table(path), [(t or "").encode() for t in texts]
+    special = [k for k, data in enumerate(raw) if b"<|" in data]
+    out = tool.ids([[] if b"<|" in data else data.lower().split() for data in raw])
+    for k, ids in zip(special, tool.encode([raw[k].decode() for k in special]), strict=True):
+        out[k] = ids
+    return out
 
 
 @dataclass
@@ -93,6 +85,7 @@ class Packer:
     first_id: int
     limits: tuple[int, int, int] = (LENGTH, SEGMENTS, LENGTH)
     pool: list[Item] = field(default_factory=list)
+    wants: list[tuple[float, float, float]] = field(default_factory=list)
     rows: list[tuple] = field(default_factory=list)
     made: int = 0
 
@@ -103,6 +96,7 @@ class Packer:
             item.start += length
         if item.tokens:
             self.pool.append(item)
+            self.wants.append(self._want(item))
             if len(self.pool) >= POOL:
                 self.pack(POOL // 2)
 
@@ -110,32 +104,40 @@ class Packer:
         while len(self.pool) > keep:
             self._bin()
 
+    def _want(self, item: Item) -> tuple[float, float, float]:
+        a, b, c = item.demand
+        return a / self.limits[0], b / self.limits[1], c / self.limits[2]
+
     def _bin(self) -> None:
-        limits = np.array(self.limits, np.float64)
-        demand = np.array([i.demand for i in self.pool], np.float64) / limits
-        here, left, got = np.ones(len(self.pool), bool), np.ones(3), []
+        demand, left, got, taken = np.array(self.wants), np.ones(3), [], []
         while True:
-            fits = here & (demand <= left + 1e-12).all(1)
-            if not fits.any():
+            # the dot product with what is left; items that don't fit, or are taken, count as less than nothing
+            worth = np.where((demand > left + 1e-12).any(1), -1.0, demand @ left)
+            k = int(worth.argmax()) if len(worth) else -1
+            if k < 0 or worth[k] < 0:
                 break
-            k = int(np.argmax(np.where(fits, demand @ left, -1.0)))
             item = self.pool[k]
             got.append((item, item.start, item.tokens))
-            left -= demand[k]
-            here[k] = False
-        rest = [i for i, h in zip(self.pool, here, strict=True) if h]
+            left = left - demand[k]
+            taken.append(k)
+            demand[k] = 9.0
+        for k in sorted(taken, reverse=True):
+            del self.pool[k], self.wants[k]
+        rest = self.pool
         room = self.limits[0] - sum(n for *_, n in got)
         bear = self.limits[2] - sum(i.loss(a, a + n) for i, a, n in got)
         if room and rest and len(got) < self.limits[1]:
-            item = max(rest, key=lambda i: i.tokens)
+            at = max(range(len(rest)), key=lambda i: self.wants[i][0])
+            item = rest[at]
             n = min(room, item.tokens)
             n = min(n, max(0, item.loss_from - item.start) + bear)
             if n > 0:
                 got.append((item, item.start, n))
                 item.start += n
-                if not item.tokens:
-                    rest = [i for i in rest if i is not item]
-        self.pool = rest
+                if item.tokens:
+                    self.wants[at] = self._want(item)
+                else:
+                    del self.pool[at], self.wants[at]
         if not got:
             raise ValueError("an item fits no empty sequence")
         self._emit(got)
@@ -169,8 +171,10 @@ def pack(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int]
 
         packer, end = Packer(TaskContext.get().partitionId() << 40, limits), np.array([END], "<u4").tobytes()
         for batch in batches:
-            for doc, text, bears in zip(batch["doc_id"].to_pylist(), batch["text"], batch["loss_from"].to_pylist(), strict=True):
-                packer.add(Item(doc, token_bytes(text.as_py() or "", path) + end, 0, bears))
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                for doc, ids, bears in zip(part["doc_id"].to_pylist(), token_bytes(part["text"].to_pylist(), path), part["loss_from"].to_pylist(), strict=True):
+                    packer.add(Item(doc, ids + end, 0, bears))
                 if len(packer.rows) >= 20_000:
                     yield _batch(packer.rows)
                     packer.rows = []
