@@ -2,6 +2,8 @@
 
 import numpy as np
 
+from voxelith.llm import lm, packing
+
 
 
 DOC = "doc_id long, text string"
@@ -55,3 +57,31 @@ def test_near_dedup_keeps_null_and_repeated_ids(spark):
     rows = [(None, "a text that stands alone here"), (1, "first of two other texts"), (1, "nothing like the one before it"), (2, "first of two other texts")]
     got = [tuple(r) for r in P.near_dedup(spark, spark.createDataFrame(rows, DOC), "").collect()]
     assert sorted(got, key=str) == sorted(rows[:3], key=str)
+
+
+def test_lm_trains_on_all_words_and_ends(spark, monkeypatch):
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    texts = [" ".join(f"word{i % 7} tail{i % 5}" for i in range(n)) for n in (3, 20, 100, 400)] + ["", None]
+    ids = lm.encode([lm.split(t) for t in texts], path)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    merged = {}
+    plain = lm.materialise
+
+    def spy(df, label):
+        out = plain(df, label)
+        if label == "weights":
+            merged["seen"] = sum(r["seen"] for r in out.collect())
+        return out
+
+    monkeypatch.setattr(lm, "materialise", spy)
+    lm.fit(docs, path)
+    assert merged["seen"] == sum(len(x) + 1 for x in ids)
+
+
+def test_lm_scores_do_not_depend_on_the_broadcast_bound(spark):
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(3, 12)))) for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC).coalesce(1)
+    few, all_ = ({r.doc_id: r.score for r in lm.score(docs, path, most_pairs=m).collect()} for m in (5, 200_000))
+    assert all(abs(few[d] - all_[d]) < 1e-6 * abs(all_[d]) for d in all_)
