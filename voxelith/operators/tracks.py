@@ -64,8 +64,8 @@ def segment_cost(links: DataFrame, img: DataFrame, samples: int = 5) -> DataFram
     return p.join(img.groupBy("x", "y").agg(F.max("v").alias("v")), ["x", "y"], "left").groupBy("link_id").agg(F.round(F.avg(F.coalesce("v", F.lit(0))), 6).alias("mean"))
 
 
-def cheapest_tracks(links: DataFrame, by: str, least: int = 2, most: int = 1000) -> DataFrame:
-    """Repeated cheapest path in each group's graph (by, frame, a, frame2, b, cost): paths with cost under 0 are taken out one by one. One group a task."""
+def cheapest_tracks(links: DataFrame, by: str, least: int = 2, most: int | None = None) -> DataFrame:
+    """Repeated cheapest path in each group's graph (by, frame, a, frame2, b, cost): paths with cost under 0 are taken out one by one until there is none, or ``most`` are found. One group a task."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         frame = dict(zip(pdf["a"], pdf["frame"], strict=True)) | dict(zip(pdf["b"], pdf["frame2"], strict=True))
@@ -74,7 +74,7 @@ def cheapest_tracks(links: DataFrame, by: str, least: int = 2, most: int = 1000)
             into.setdefault(b, []).append((a, c))
         alive, rows, track = set(frame), [], 0
         order = sorted(frame, key=lambda n: (frame[n], n))
-        while track < most:
+        while most is None or track < most:
             best: dict = {}
             for n in order:
                 if n in alive:
