@@ -1,8 +1,17 @@
 """Queries give results for the whole of their tables."""
 
+import os
+
 import numpy as np
+import pytest
 
+from voxelith.functions import kernels as K
 from voxelith.plans import pipeline as P
+from voxelith.plans.queries import QUERIES
+from voxelith.plans.views import view
+
+SF = "/root/testdata/sf0.001"
+
 
 def test_cheapest_tracks_leave_no_path_under_zero(spark):
     rng = np.random.default_rng(2)
@@ -31,3 +40,34 @@ def test_cheapest_tracks_leave_no_path_under_zero(spark):
         found += len(tracks)
         assert len(tracks) > 3 and max(own[d][0] for t in tracks.values() for d in t) > 12
     assert found == len({(r.x, r.track) for r in got})
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_thinning_covers_the_view(spark):
+    vox = view(spark, SF, "vox").toPandas()
+    a = np.zeros((32, 32, vox["z"].max() + 1), bool)
+    a[vox["x"], vox["y"], vox["z"]] = vox["v"] >= 12
+    want = K.thin(a)
+    got = QUERIES["thinning"](spark, SF).toPandas()
+    assert len(got) == len(vox) and (got["v"] == want[got["x"], got["y"], got["z"]]).all()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_thinning_of_a_crop_by_brute_force(spark):
+    vox = view(spark, SF, "vox").where("x < 12 AND y < 12").toPandas()
+    a = np.zeros((12, 12, vox["z"].max() + 1), bool)
+    a[vox["x"], vox["y"], vox["z"]] = vox["v"] >= 12
+    t = K.thin(a)
+
+    def parts(m):
+        left, n = set(map(tuple, np.argwhere(m).tolist())), 0
+        while left:
+            n, todo = n + 1, [left.pop()]
+            while todo:
+                p = todo.pop()
+                near = {q for q in left if max(abs(i - j) for i, j in zip(p, q, strict=True)) == 1}
+                left -= near
+                todo += near
+        return n
+
+    assert not (t & ~a).any() and 0 < t.sum() < a.sum() and parts(t) == parts(a)

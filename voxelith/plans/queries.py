@@ -155,7 +155,7 @@ query("gaussian_filter", "vox", lambda a: T.gaussian(a, 1.0, 16), None)
 query("gradient_modulus", "vox", lambda a: T.per_tile(a, lambda b: np.round(K.gradient_modulus(b, 1.0), 6), 16, 5), None)
 query("laplacian", "vox", lambda a: T.per_tile(a, lambda b: np.round(K.laplacian(b, 1.0), 6), 16, 5), None)
 query("fill_holes", "vox", lambda a: T.per_image(_one(a), lambda b: K.fill_holes(b >= 12).astype(int), "image_id", out="v int").drop("image_id"), None)
-query("thinning", "vox", lambda a: T.per_image(_one(a.where("x < 12 AND y < 12")), lambda b: K.thin(b >= 12).astype(int), "image_id", out="v int").drop("image_id"), None)
+query("thinning", "vox", lambda a: T.per_image(_one(a), lambda b: K.thin(b >= 12).astype(int), "image_id", out="v int").drop("image_id"), None)
 query("geodesic_snake", "vox", lambda a: T.per_image(_one(a), lambda b: K.geodesic_snake(b >= 45, K.edge_stop(b), 10, 1), "image_id", out="v int").drop("image_id"), None)
 query("region_snake", "vox", lambda a: T.per_image(_one(a), lambda b: K.region_snake(b >= 45, b.astype(float), 5), "image_id", out="v int").drop("image_id"), None)
 
