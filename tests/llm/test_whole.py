@@ -1,8 +1,10 @@
 """Whole results where an earlier version gave less: near copies, long turns, blocks of windows, far terms, whole texts."""
 
+from collections import Counter
+
 import numpy as np
 
-from voxelith.llm import lm, packing
+from voxelith.llm import chat, decontam, lm, packing, queries
 
 
 
@@ -85,3 +87,14 @@ def test_lm_scores_do_not_depend_on_the_broadcast_bound(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), DOC).coalesce(1)
     few, all_ = ({r.doc_id: r.score for r in lm.score(docs, path, most_pairs=m).collect()} for m in (5, 200_000))
     assert all(abs(few[d] - all_[d]) < 1e-6 * abs(all_[d]) for d in all_)
+
+
+def test_long_and_null_turns_keep_their_lines_in_order(spark, tmp_path):
+    body = [f"{9999 - k} of many" for k in range(1500)]
+    turns = [(1, 0, "user", "what is it?"), (1, 1, "assistant", "\n".join(body)), (1, 2, "user", "and then?"), (2, 0, "user", "hello?"), (2, None, "assistant", "the end")]
+    turns += [(c, t, ("user", "assistant")[t % 2], "what?" if t % 2 == 0 else "a long answer\nof lines") for c in range(3, 15) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op4_chat_format(spark, str(tmp_path)).collect()
+    lines = [x for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.line_no) for x in r.rendered.split("\n") if x.endswith("of many")]
+    assert [x.split(": ")[-1] for x in lines][1:] == body[1:]
+    assert sum(r.n_lines for r in got if r.conv_id == 2) == 2 and any("the end" in r.rendered for r in got if r.conv_id == 2)

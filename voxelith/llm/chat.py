@@ -12,7 +12,8 @@ is split over tasks and the result is that of one long pass.
 Recovered turns are rendered with their markers taken away.
 
 Defined results: null texts are blank lines; a null conv_id is a conversation
-of its own; lines with the same number are taken in order of their text;
+of its own; lines with the same number are taken in order of their text; a null
+number is the largest one, and a null turn comes after all others;
 without labelled lines all states are alike and the first role wins.
 """
 
@@ -127,7 +128,7 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray], per: int = BLOCK) ->
     """conv_id, line_no, text, role, first for lines (conv_id, line_no, text); a block has the lines of ``per`` numbers."""
     spark = lines.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rows = observe(lines.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("line_no").cast("long").alias("line_no"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = observe(lines.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("line_no").cast("long"), F.lit((1 << 63) - 1)).alias("line_no"), F.coalesce("text", F.lit("")).alias("text")))
     rows = rows.withColumn("block", F.expr(f"line_no div {per}"))
 
     def summarise(key, table):
@@ -187,7 +188,12 @@ def split_lines(texts: DataFrame) -> DataFrame:
     return texts.select("conv_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
 
 
-LINES_PER_TURN = 1 << 20
+NO_TURN = (1 << 31) - 1
+
+
+def line_number(turn: Column, k: Column) -> Column:
+    """One number in the order of (turn, line of the turn); a turn has less than 2 ** 32 lines."""
+    return F.shiftleft(F.coalesce(turn.cast("long"), F.lit(NO_TURN).cast("long")), 32) + k
 
 
 def transcript_lines(turns: DataFrame, unmarked: int = 4) -> DataFrame:
@@ -201,5 +207,5 @@ def transcript_lines(turns: DataFrame, unmarked: int = 4) -> DataFrame:
     style = (pick / 4).cast("int") % 3
     mark = F.when(F.pmod(F.xxhash64(F.col("turn"), conv), F.lit(unmarked)) == 0, "").when(style == 0, F.concat(F.initcap(name), F.lit(": "))).when(style == 1, F.concat(F.lit("### "), name, F.lit(": "))).otherwise(F.concat(F.lit("<|"), name, F.lit("|>")))
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.posexplode(F.split(F.concat(F.coalesce(mark, F.lit("")), F.coalesce("text", F.lit(""))), "\n")).alias("k", "text"))
-    return rows.select("conv_id", "turn", F.least("k", F.lit(LINES_PER_TURN - 1)).alias("k"), "role", "text", (F.col("k") == 0).alias("first"))
+    return rows.select("conv_id", "turn", "k", "role", "text", (F.col("k") == 0).alias("first"))
 

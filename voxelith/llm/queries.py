@@ -38,8 +38,9 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     lines = chat.transcript_lines(turns)
     model = chat.learn(lines.where(F.coalesce(fold(F.col("conv_id"), 5), F.lit(0)) != 0).withColumn("line_no", F.col("turn")))
-    raw = lines.select("conv_id", (F.col("turn") * 1024 + F.least("k", F.lit(1023))).alias("line_no"), "text")
-    return chat.render(chat.decode(raw, model, 64 * 1024), 64 * 1024).select("conv_id", F.expr("line_no div 1024").alias("turn"), "line_no", "role", "n_lines", "rendered")
+    raw = lines.select("conv_id", chat.line_number(F.col("turn"), F.col("k")).alias("line_no"), "text")
+    turn = F.nullif(F.shiftright("line_no", 32), F.lit(chat.NO_TURN))
+    return chat.render(chat.decode(raw, model, 64 << 32), 64 << 32).select("conv_id", turn.alias("turn"), "line_no", "role", "n_lines", "rendered")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
