@@ -98,3 +98,18 @@ def test_long_and_null_turns_keep_their_lines_in_order(spark, tmp_path):
     lines = [x for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.line_no) for x in r.rendered.split("\n") if x.endswith("of many")]
     assert [x.split(": ")[-1] for x in lines][1:] == body[1:]
     assert sum(r.n_lines for r in got if r.conv_id == 2) == 2 and any("the end" in r.rendered for r in got if r.conv_id == 2)
+
+
+def test_blocks_of_windows_give_the_rows_of_one_block(spark):
+    rows = [(None, "alpha beta"), (None, "gamma delta"), (5, "alpha beta gamma delta"), (5, "none of it"), (5, "none of it"), (6, None)]
+    docs = spark.createDataFrame(rows, DOC)
+    bench = spark.createDataFrame([("a", "alpha beta"), ("b", "gamma delta"), ("c", "of it")], "item_id string, text string")
+    one, many = (Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in decontam.decontaminate(docs, bench, 10, block=b).collect()) for b in (100, 1))
+    assert one == many and sum(one.values()) == len(rows)
+
+
+def test_proximity_keeps_a_longer_span_inside_a_document(spark):
+    docs = spark.createDataFrame([(1, "x b"), (2, "a y y b")], DOC).coalesce(1)
+    bench = spark.createDataFrame([("i", "a b")], "item_id string, text string")
+    got = {r.doc_id: r.n_hit for r in decontam.decontaminate(docs, bench, 10, slop=2).collect()}
+    assert got == {1: 0, 2: 4}

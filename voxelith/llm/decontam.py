@@ -101,14 +101,16 @@ def intersect(lists: dict[str, np.ndarray], phrase: tuple[str, ...], order: Iter
     return starts
 
 
-def near(lists: dict[str, np.ndarray], phrase: tuple[str, ...], order: list[int], slop: int) -> list[tuple[int, int]]:
-    """Shortest spans [a, b) of at most len(phrase) + slop words with all distinct terms in any order, one from each position of the rarest term."""
+def near(lists: dict[str, np.ndarray], phrase: tuple[str, ...], order: list[int], slop: int, ends: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Shortest spans [a, b) of at most len(phrase) + slop words with all distinct terms in any order, one from each position of the rarest term. ends: where documents end; no span crosses one."""
     terms, width, out = [phrase[k] for k in order], len(phrase) + slop, set()
     distinct = list(dict.fromkeys(terms))
     if any(t not in lists for t in distinct):
         return []
     for p in lists[distinct[0]].tolist():
-        around = sorted({q for t in distinct for q in lists[t][np.searchsorted(lists[t], p - width + 1) : np.searchsorted(lists[t], p, "right")].tolist()})
+        d = 0 if ends is None else int(np.searchsorted(ends, p, "right"))
+        begin, end = 0 if not d else int(ends[d - 1]), p + width if ends is None else int(ends[d])
+        around = sorted({q for t in distinct for q in lists[t][np.searchsorted(lists[t], max(p - width + 1, begin)) : np.searchsorted(lists[t], p, "right")].tolist()})
         best = None
         for a in around:
             last = a
@@ -118,7 +120,7 @@ def near(lists: dict[str, np.ndarray], phrase: tuple[str, ...], order: list[int]
                     break
                 last = max(last, int(lists[t][i]))
             else:
-                if last >= p and last - a < width and (best is None or last + 1 - a < best[1] - best[0]):
+                if p <= last < end and last - a < width and (best is None or last + 1 - a < best[1] - best[0]):
                     best = (a, last + 1)
         if best:
             out.add(best)
@@ -156,7 +158,7 @@ def search(index: DataFrame, phrases, slop: int | None = None) -> DataFrame:
                     if slop is None:
                         pairs = [(a, a + len(phrase)) for a in intersect(lists, phrase, order).tolist()]
                     else:
-                        pairs = near(lists, phrase, order, slop)
+                        pairs = near(lists, phrase, order, slop, ends)
                     for a, b in pairs:
                         d = int(np.searchsorted(ends, a, "right"))
                         if a >= 0 and b <= ends[d]:
@@ -181,15 +183,15 @@ def search(index: DataFrame, phrases, slop: int | None = None) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, spans, items. benchmark: (item_id, text).
 
-    The benchmark is read by the driver, block after block, and no block is over ``block`` windows; with several blocks their results are put together by document.
+    The benchmark is read by the driver, block after block, and no block is over ``block`` windows; with several blocks their results are put together by a row key that is written before them.
     """
     spark = docs.sparkSession
-    found, out = defaultdict(set), []
+    found, out, keyed = defaultdict(set), [], None
 
     def flush() -> None:
         terms = sorted({t for w in found for t in w})
         vocabulary = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-        index = materialise(build_index(docs, vocabulary), "postings")
+        index = materialise(build_index(docs if keyed is None else keyed.select(F.col("_row").alias("doc_id"), "text"), vocabulary), "postings")
         total = {r["term"]: r["n"] for r in term_counts(index).toLocalIterator()}
         rows = [(w, sorted(range(len(w)), key=lambda i, w=w: (total.get(w[i], 0), i)), sorted(own)) for w, own in found.items() if all(t in total for t in w)]
         out.append(search(index, spark.sparkContext.broadcast(rows), slop))
@@ -199,12 +201,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int
         for w in windows(r["text"], n):
             found[w].add(r["item_id"])
         if len(found) >= block:
+            if keyed is None:
+                keyed = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_row")), "keyed")
             flush()
     if found or not out:
         flush()
     hits = out[0]
     if len(out) > 1:
-        # every block gives a row for every document; a row's number among equal ids isn't known, so equal ids are put together as one document
         every = out[0]
         for x in out[1:]:
             every = every.unionByName(x)
@@ -213,6 +216,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int
             "spans",
             F.expr("aggregate(spans, cast(array() as array<struct<a:bigint,b:bigint>>), (s, x) -> CASE WHEN size(s) > 0 AND x.a <= element_at(s, -1).b THEN concat(slice(s, 1, size(s) - 1), array(struct(element_at(s, -1).a AS a, greatest(element_at(s, -1).b, x.b) AS b))) ELSE concat(s, array(x)) END)"),
         )
+    if keyed is not None:
+        hits = hits.withColumnRenamed("doc_id", "_row").join(keyed.select("_row", "doc_id"), "_row")
     return hits.withColumn("n_hit", F.expr("aggregate(spans, 0L, (s, x) -> s + x.b - x.a)")).select("doc_id", "n_words", "n_hit", "spans", "items")
 
 
