@@ -113,3 +113,20 @@ def test_proximity_keeps_a_longer_span_inside_a_document(spark):
     bench = spark.createDataFrame([("i", "a b")], "item_id string, text string")
     got = {r.doc_id: r.n_hit for r in decontam.decontaminate(docs, bench, 10, slop=2).collect()}
     assert got == {1: 0, 2: 4}
+
+
+def test_decontamination_stage_by_row(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([("i", "alpha beta gamma")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "alpha beta gamma"), (None, "a clean text"), (1, "alpha beta gamma too"), (1, "another clean text")]
+    got = [tuple(r) for r in P.decontamination(spark, spark.createDataFrame(rows, DOC), str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([rows[1], rows[3]], key=str)
+
+
+
+def test_stages_take_empty_tables(spark):
+    import corpus_pipeline as P
+
+    none = spark.createDataFrame([], DOC)
+    assert P.near_dedup(spark, none, "").count() == 0 and P.decontamination(spark, none, "/root/testdata/sf0.001").count() == 0
