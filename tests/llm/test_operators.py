@@ -169,10 +169,10 @@ def test_transcripts(spark):
 
 
 def test_lm(spark, docs, empty):
-    path = packing.tokenizer_path("byte_bpe_50k.json")
+    path = packing.tokenizer_path("byte_bpe_50k.tiktoken")
     got = lm.score(docs, path, known=20).collect()
     data = rows_of(docs)
-    words = {i: [*lm.split(t), b"\n"] for i, (_, t) in enumerate(data)}
+    words = {i: [*(t or "").encode().lower().split(), b"\n"] for i, (_, t) in enumerate(data)}
     out = [zlib.crc32(str("" if d is None else d).encode()) % 5 == 1 for d, _ in data]
     c = Counter(w for i, ws in words.items() if not out[i] for w in ws)
     n, v = sum(c.values()), len(c)
@@ -183,25 +183,37 @@ def test_lm(spark, docs, empty):
 
 def test_lm_gradients_and_sums():
     rng = np.random.default_rng(2)
-    pairs = rng.random((lm.HEAD + 2, lm.HEAD + 2)) + 0.1
-    w = {k: x.astype(np.float64) for k, x in lm.start_weights(pairs / pairs.sum(1, keepdims=True)).items()}
-    seqs = [np.append(rng.integers(0, 40, n), lm.STOP) for n in (3, 16, 45)]
-    inp, out, scored, _ = lm.blocks(seqs)
-    at = np.flatnonzero(scored)
-    g, n = lm.gradients(w, inp, out, at)
-    assert n == sum(map(len, seqs))
-    loss = lambda: -float(lm.log_probs(w, inp, out, scored).astype(np.float64).sum()) / n
-    for k in w:
+    n = lm.GROUPS * lm.SLOTS
+    pairs = np.zeros((3, n + 1, n))
+    for a in (0, 5, 9, 40, lm.BEGIN):
+        pairs[:, a] = rng.integers(0, 5, (3, n))
+    w = {k: x.astype(np.float64) for k, x in lm.start_weights(pairs).items()}
+    w["g"], w["s"] = (rng.normal(0, 0.3, w[k].shape) for k in "gs")
+    words = [np.append(rng.integers(0, 60, k), lm.STOP) for k in (1, 3, 7, 15, 21, 45)] + [np.array([lm.FIN])]
+    flat, stops = np.concatenate(words), np.cumsum([len(x) for x in words])
+    modes, weights = np.arange(len(words)) % 3, rng.random(len(words)) + 0.5
+    f = lm.windows(flat, stops, modes)
+    assert f["scored"].sum() == len(flat) and np.array_equal(f["out"][f["scored"]], flat)  # each token is scored once, in order
+    sizes = np.diff(np.concatenate([[0], stops]))
+    loss = lambda: -float((weights * lm.word_logs(w, flat, stops, modes)).sum() / (weights * sizes).sum())
+    g = lm.gradients(w, flat, stops, modes, weights)
+    assert set(g) == set(w) - set(lm.FIXED)
+    for k in g:
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
-        keep, e = w[k][i], 1e-2
+        keep, e = w[k][i], 1e-4
         w[k][i] = keep + e
         hi = loss()
         w[k][i] = keep - e
         lo = loss()
         w[k][i] = keep
-        assert abs((hi - lo) / (2 * e) - g[k][i]) < 1e-3 + 0.05 * abs(g[k][i]), k
-    probs = [np.exp(lm.log_probs(w, *lm.blocks([np.array([5, 9, t])])[:3]).reshape(-1)[lm.BLOCK + 2]) for t in range(lm.HEAD + 2)]
-    assert abs(sum(probs) - 1) < 1e-3
+        assert abs((hi - lo) / (2 * e) - g[k][i]) < 1e-6 + 0.01 * abs(g[k][i]), k
+    # the classes that may come after 5, 9 have probabilities that sum to one
+    flat = np.concatenate([[5, 9, t] for t in range(n)])
+    upto = lm.word_logs(w, np.array([5, 9]), np.array([2]), np.array([1]))[0]
+    assert abs(np.exp(lm.word_logs(w, flat, np.arange(3, 3 * n + 1, 3), np.ones(n, int)) - upto).sum() - 1) < 1e-6
+    # a word's log does not depend on later words or on the words scored with it
+    one = [lm.word_logs(w, x, np.array([len(x)]), modes[k : k + 1])[0] for k, x in enumerate(words)]
+    assert np.allclose(one, lm.word_logs(w, np.concatenate(words), stops, modes))
 
 
 # --- 6

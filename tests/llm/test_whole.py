@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from voxelith.llm import chat, decontam, lm, packing, queries
 
 
@@ -62,31 +64,62 @@ def test_near_dedup_keeps_null_and_repeated_ids(spark):
 
 
 def test_lm_trains_on_all_words_and_ends(spark, monkeypatch):
-    path = packing.tokenizer_path("byte_bpe_50k.json")
-    texts = [" ".join(f"word{i % 7} tail{i % 5}" for i in range(n)) for n in (3, 20, 100, 400)] + ["", None]
-    ids = lm.encode([lm.split(t) for t in texts], path)
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
-    merged = {}
-    plain = lm.materialise
+    path = packing.tokenizer_path("byte_bpe_50k.tiktoken")
+    texts = [" ".join(f"word{i % 7} Tail{i % 5}" for i in range(n)) for n in (3, 20, 100, 4000)] + ["", None, " \n lead and trail\t"]
+    docs = spark.createDataFrame([(t, ("x", None)[k % 2]) for k, t in enumerate(texts)], "text string, lang string").repartition(3)
+    count = Counter(w for t in texts for w in [*(t or "").lower().split(), "\n"])
+    got = Counter()
+    for r in lm.count_words(lm.modes_of(docs, "lang")[0], 1).collect():
+        got[r.word] += r.n
+    assert got == count
+    trained, plain = Counter(), lm.gradients
 
     def spy(df, label):
-        out = plain(df, label)
         if label == "weights":
-            merged["seen"] = sum(r["seen"] for r in out.collect())
-        return out
+            trained["steps"] += 1
+        return materialise(df, label)
 
+    materialise = lm.materialise
     monkeypatch.setattr(lm, "materialise", spy)
-    lm.fit(docs, path)
-    assert merged["seen"] == sum(len(x) + 1 for x in ids)
+    model = lm.fit(docs, path, "lang")
+    assert model["tokens"] == sum(count.values()) and model["distinct"] == len(count) and trained["steps"] == lm.ROUNDS and plain is lm.gradients
+
+
+def test_lm_deals_whole_counts_to_steps(spark):
+    rows = [(f"w{k}", k % 2, n) for k, n in enumerate([1, 64, 65, 1000, 300_000])]
+    words = spark.createDataFrame(rows, "word string, mode int, n long")
+    slots, _, _ = lm.deal(words)
+    sums = {r["word"]: (r["n"], r["k"]) for r in slots.groupBy("word").agg(F.sum("n").alias("n"), F.countDistinct("trainer", "step").alias("k")).collect()}
+    assert all(abs(sums[w][0] - n) < 1e-6 for w, _, n in rows) and sums["w4"][1] > sums["w3"][1] > sums["w0"][1] == 1
 
 
-def test_lm_scores_do_not_depend_on_the_broadcast_bound(spark):
-    path = packing.tokenizer_path("byte_bpe_50k.json")
+def test_lm_scores_do_not_depend_on_partitions_or_the_broadcast_bound(spark):
+    path = packing.tokenizer_path("byte_bpe_50k.tiktoken")
     rng = np.random.default_rng(5)
     texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(3, 12)))) for _ in range(60)) for _ in range(40)]
-    docs = spark.createDataFrame(list(enumerate(texts)), DOC).coalesce(1)
-    few, all_ = ({r.doc_id: r.score for r in lm.score(docs, path, most_pairs=m).collect()} for m in (5, 200_000))
-    assert all(abs(few[d] - all_[d]) < 1e-6 * abs(all_[d]) for d in all_)
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    runs = [{r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score(d, path, known=k).collect()} for d, k in ((docs.coalesce(1), 400_000), (docs.repartition(8), 400_000), (docs.coalesce(1), 50))]
+    for other in runs[1:]:
+        assert all(np.allclose(runs[0][d], other[d], rtol=1e-6) for d in runs[0])
+
+
+def test_attention_between_words_is_that_of_a_plain_loop():
+    rng = np.random.default_rng(3)
+    told = np.vstack([rng.normal(0, 1, (30, 3)), np.zeros((1, 3))]).astype(np.float32)
+    sizes, gate = [0, 1, 31, 32, 33, 200], {"salience": 0.5, "decay": 0.02}
+    at = rng.integers(0, 31, sum(sizes))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    got, k = lm.weighed(told, at, bounds, gate), 0
+    for a, b in zip(bounds, bounds[1:]):
+        for t in range(b - a + 1):
+            top, low = np.zeros(3), 1.0
+            for j in range(max(0, t // lm.BLOCK * lm.BLOCK - lm.BLOCK), t):
+                e = told[at[a + j]]
+                if e.max() > 0:
+                    weight = np.exp(gate["salience"] * e.max() - gate["decay"] * (t - j))
+                    top, low = top + weight * e, low + weight
+            assert np.allclose(got[k], top / low, atol=1e-4)
+            k += 1
 
 
 def test_long_and_null_turns_keep_their_lines_in_order(spark, tmp_path):

@@ -48,10 +48,10 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """
     from .words import table
 
-    tool, raw = table(path), [(t or "").encode() for t in texts]
-    special = [k for k, data in enumerate(raw) if b"<|" in data]
-    out = tool.ids([[] if b"<|" in data else data.lower().split() for data in raw])
-    for k, ids in zip(special, tool.encode([raw[k].decode() for k in special]), strict=True):
+    tool, raw = table(path), [t or "" for t in texts]
+    special = [k for k, t in enumerate(raw) if "<|" in t]
+    out = list(tool.ids(["" if "<|" in t else t for t in raw]))
+    for k, ids in zip(special, tool.encode_each([raw[k] for k in special]), strict=True):
         out[k] = ids
     return out
 
@@ -169,10 +169,11 @@ def pack(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int]
     def run(batches):
         from pyspark import TaskContext
 
+        from .words import portions
+
         packer, end = Packer(TaskContext.get().partitionId() << 40, limits), np.array([END], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part in portions(batch):
                 for doc, ids, bears in zip(part["doc_id"].to_pylist(), token_bytes(part["text"].to_pylist(), path), part["loss_from"].to_pylist(), strict=True):
                     packer.add(Item(doc, ids + end, 0, bears))
                 if len(packer.rows) >= 20_000:

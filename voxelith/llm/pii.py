@@ -144,7 +144,7 @@ def disclosing(near: DataFrame, docs: DataFrame, share: float = 0.5, support: in
     total = docs.count()
     if pairs.isEmpty():
         return pairs.select("entity", "term")
-    words = count_words(docs.select("text")).where(F.col("word") != END).select(F.lower(F.expr("trim(BOTH '.,;:!?' FROM word)")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n_t"))
+    words = count_words(docs.select("text", F.lit(0).alias("mode"))).where(F.col("word") != END).select(F.lower(F.expr("trim(BOTH '.,;:!?' FROM word)")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n_t"))
     seen = pairs.join(words, "term")
     p_e, p_et = F.least(F.col("n_e") / F.lit(max(total, 2)), F.lit(0.5)), F.least(F.col("n_et") / F.greatest("n_t", "n_et"), F.lit(1.0))
     return materialise(seen.where(F.log2(p_et / p_e) >= share * -F.log2(p_e)).select("entity", "term"), "disclosing")

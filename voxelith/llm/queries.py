@@ -44,7 +44,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"), packing.tokenizer_path("byte_bpe_50k.json"))
+    return lm.score(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), packing.tokenizer_path("byte_bpe_50k.tiktoken"), label="lang")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

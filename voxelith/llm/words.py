@@ -1,65 +1,132 @@
-"""Subword ids of words, kept in tables of bounded size.
+"""Subword ids of texts by way of their words, which are kept in tables of bounded size.
 
-A table is right for tokenizers that never join ids over white space or over
-the place where a run of ASCII marks follows an ASCII letter, as those of this
-library's queries: each stretch between white space is encoded once, without
-the marks that end it, and kept.
+Right for tokenizers that drop case and white space, and never join ids over
+white space or over the place where a run of ASCII marks follows an ASCII
+letter, as the one that the packing query uses: each different stretch between
+white space is encoded once, without the marks that end it, and kept. Texts
+are split and their words told apart in Arrow; Python sees different words only.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Entries of a table, and those that stay when it's full: the first ones, which come most often.
 MOST, STAY = 700_000, 250_000
-_TABLES: dict[tuple[str, str, bool], WordTable] = {}
+#: Words of letters that go to the tokenizer at once.
+TOGETHER = 500
+#: Bytes of texts that are worked on at once, but one text at least.
+PORTION = 12_000_000
+_TABLES: dict[str, WordTable] = {}
+
+
+def split_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different words, place of each word of the texts among them, bounds of the texts): stretches between ASCII white space, A-Z lower-cased. A null text has no words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(pa.array(texts, pa.large_string()), "")))
+    bounds = np.asarray(lists.offsets)
+    words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+    names, at, bounds = words.dictionary.to_pylist(), words.indices.to_numpy(), bounds - bounds[0]
+    if "" in names:  # white space at either end of a text
+        real = at != names.index("")
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        at = at[real]
+    return names, at, bounds
+
+
+def portions(batch: pa.RecordBatch, column: str = "text", size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about so many bytes."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 class WordTable:
-    def __init__(self, path: str, lead: str, plain: bool):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a task
         from tokenizers import Tokenizer
 
-        self.tool, self.lead, self.known = Tokenizer.from_file(path), lead, {}
-        self.tool.encode_special_tokens = plain
+        self.tool, self.known = Tokenizer.from_file(path), {"": b""}
+        vocabulary = self.tool.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode_each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, lists: list[list[bytes]]) -> list[bytes]:
-        """For each list of words their ids as little-endian unsigned 32-bit numbers, put together."""
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Words of letters go to the tokenizer many at a time and are told apart by the tokens that end a word."""
+        if not self.ends.any():
+            return self.encode_each(words)
+        out: list[bytes] = [b""] * len(words)
+        letters, rest = [], []
+        for k, w in enumerate(words):
+            (letters if w.isalpha() else rest).append(k)
+        parts = [letters[i : i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        for part, e in zip(parts, self.tool.encode_batch_fast([" ".join([words[k] for k in p]) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) != len(part) or stops[-1] != 4 * len(ids):  # each word has one end at least, so some word is split in two
+                rest += part
+                continue
+            data, at = ids.tobytes(), 0
+            for k, stop in zip(part, stops, strict=True):
+                out[k] = data[at:stop]
+                at = stop
+        for k, ids in zip(rest, self.encode_each([words[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of different words, kept for later."""
+        if len(self.known) > MOST:
+            self.known = dict(islice(self.known.items(), STAY))
         known = self.known
-        if len(known) > MOST:
-            known = self.known = dict(islice(known.items(), STAY))
-        missing = [w for w in set().union(*lists) if w not in known]
-        whole, parts = set(), {}
-        for w in missing:
-            base = w.rstrip(MARKS)
-            if base and len(base) < len(w) and 97 <= base[-1] | 32 <= 122:
-                parts[w] = base, w[len(base) :]
-                whole.add(base)
+        out = list(map(known.get, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        whole, parts = {}, {}
+        for k in missing:
+            w = words[k]
+            if not w.isalpha() and len(base := w.rstrip(MARKS)) < len(w) and base and base[-1].isascii() and base[-1].isalpha():
+                parts[k] = base, w[len(base) :]
+                whole[base] = whole[w[len(base) :]] = None
             else:
-                whole.add(w)
+                whole[w] = None
         new = [w for w in whole if w not in known]
-        known.update(zip(new, self.encode([self.lead + w.decode() for w in new]), strict=True))
-        ends = {e for _, e in parts.values()}
-        # marks after a word have no leading blank
-        tail = known if not self.lead else dict(zip(ends, self.encode([e.decode() for e in ends]), strict=True))
-        if not self.lead:
-            rest = [e for e in ends if e not in known]
-            known.update(zip(rest, self.encode([e.decode() for e in rest]), strict=True))
-        for w, (base, end) in parts.items():
-            known[w] = known[base] + tail[end]
-        return [b"".join(map(known.__getitem__, ws)) for ws in lists]
-
-
-def table(path: str, lead: str = "", plain: bool = False) -> WordTable:
-    """The table of a tokenizer file in this process. lead goes before each word; plain: strings of special tokens are ordinary text."""
-    key = path, lead, plain
-    if key not in _TABLES:
-        _TABLES[key] = WordTable(path, lead, plain)
-    return _TABLES[key]
+        known.update(zip(new, self.encode(new), strict=True))
+        for k in missing:
+            if k in parts:
+                base, end = parts[k]
+                known[words[k]] = known[base] + known[end]
+            out[k] = known[words[k]]
+        return out
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        names, at, ends = split_words(texts)
+        each = self.of_words(names)
+        flat, sizes = np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[at]
+        stops = np.cumsum(own)
+        places = np.repeat(starts[at] - stops + own, own)
+        places += np.arange(len(places))
+        data = flat[places].tobytes()
+        bounds = (4 * np.concatenate([[0], stops])[ends]).tolist()
+        return (data[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
+
+
+def table(path: str) -> WordTable:
+    """The table of a tokenizer file in this process."""
+    if path not in _TABLES:
+        _TABLES[path] = WordTable(path)
+    return _TABLES[path]
