@@ -86,8 +86,8 @@ def test_lm_trains_on_all_words_and_ends(spark, monkeypatch):
 
 
 def test_lm_deals_whole_counts_to_steps(spark):
-    rows = [(f"w{k}", k % 2, n) for k, n in enumerate([1, 64, 65, 1000, 300_000])]
-    words = spark.createDataFrame(rows, "word string, mode int, n long")
+    rows = [(f"w{k}", k % 2, n) for k, n in enumerate([1, 64, 65, 200, 300_000])]
+    words = spark.createDataFrame(rows + [(f"x{k}", 1, 1) for k in range(9000)], "word string, mode int, n long")
     slots, _, _ = lm.deal(words)
     sums = {r["word"]: (r["n"], r["k"]) for r in slots.groupBy("word").agg(F.sum("n").alias("n"), F.countDistinct("trainer", "step").alias("k")).collect()}
     assert all(abs(sums[w][0] - n) < 1e-6 for w, _, n in rows) and sums["w4"][1] > sums["w3"][1] > sums["w0"][1] == 1
