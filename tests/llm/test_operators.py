@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tests.llm.test_whole import brute_near
 from voxelith.llm import chat, decontam, langid, lm, packing, pii, quality, simhash, url_filter, warc
 
 LONG = " ".join(f"word{i % 977} Tail{i % 13}" for i in range(6000))
@@ -379,13 +380,48 @@ def test_pii(spark, docs, empty):
     assert got == want and pii.find(empty).count() == 0
 
 
+def brute_disclosing(texts, residue=1.0, margin=7.0):
+    """Both measures over texts of which no two are alike."""
+    spans = [pii.base_spans(t) + pii.secret_spans(t) for t in texts]
+    terms = [set(pii.terms_of(t, s)) for t, s in zip(texts, spans)]
+    every = [{pii.term(w) for w in t.split()} for t in texts]
+    ents = [{f"{k}:{t[a:b].lower()}" for k, a, b in s} | {k for k, *_ in s} for t, s in zip(texts, spans)]
+    n_e, n_et = Counter(e for x in ents for e in x), Counter((e, w) for x, ws in zip(ents, terms) for e in x for w in ws)
+    looked = sum(1 for e, _ in n_et if n_e[e] > 1)
+    out = set()
+    for (e, w), n in n_et.items():
+        p = n / (sum(w in x for x in every) + pii.PRIOR)
+        if n > 1 and -np.log2(p) <= residue and n * np.log2(p / (n_e[e] / len(texts))) >= np.log2(looked) + margin:
+            out.add((e, w))
+    return out
+
+
 def test_disclosing_terms(spark):
-    rows = [(i, f"w{i} zorp x@y.com quux{i} common") for i in range(6)] + [(10 + i, f"common words here {i}") for i in range(200)] + [(300 + i, "copy only a@b.com copied") for i in range(50)]
-    docs = spark.createDataFrame([(a, b, "k") for a, b in rows], "doc_id long, text string, near string")
-    terms = {r.doc_id: r.terms for r in pii.find(docs).collect()}
-    assert all(terms[i] == "term:3:7" for i in range(6)) and not any(terms[300 + i] or terms[10 + i] for i in range(50))
+    rng = np.random.default_rng(4)
+    noise = lambda k: " ".join(f"n{x}" for x in rng.integers(0, 400, k))
+    rows = [(i, f"{noise(12)} Zorp, {noise(3)} x@y.com {noise(9)}") for i in range(6)] + [(10 + i, f"{noise(30)} {i}") for i in range(400)]
+    rows += [(500 + i, f"copy only copied a@b.com and copying these words of one text {i % 3}") for i in range(50)]  # copies and near copies
+    rows += [(600 + i, f'{noise(9)} passkey = "{i}a8f3cc0129bd77e0a1{i}" {noise(9)}') for i in range(10)] + [(700, "a zorp without an address (zorp)"), (701, None), (702, "")]
+    docs = spark.createDataFrame([(a, b, "k") for a, b in rows], "doc_id long, text string, _row string")
+    plain = docs.where("doc_id < 500 OR doc_id BETWEEN 600 AND 700")
+    want = brute_disclosing([t for d, t in rows if d < 500 or 600 <= d <= 700])
+    assert {tuple(r) for r in pii.disclosing(plain).collect()} == want and ("email:x@y.com", "zorp") in want and ("secret", "passkey") in want
+    more = {r.doc_id: r.more for r in pii.find(docs).collect()}
+    text = dict(rows)
+    for i in range(6):
+        a = text[i].index("Zorp")
+        assert more[i] == f"term:{a}:{a + 4}"
+    assert more[700] == "term:2:6,term:27:31" and all("secret:" in more[600 + i] and "term:" in more[600 + i] for i in range(10))
+    assert not any(more[500 + i] or more[10 + i] for i in range(50)) and more[701] == more[702] == ""
     clean = {r.doc_id: r for r in pii.sanitise(docs).collect()}
-    assert clean[0].text == "w0 <TERM> <EMAIL> quux0 common" and clean[10].text == rows[6][1] and clean[300].text == "copy only <EMAIL> copied" and clean[0].near == "k"
+    assert clean[0].text == text[0].replace("Zorp", "<TERM>").replace("x@y.com", "<EMAIL>") and clean[10].text == text[10] and clean[500]._row == "k"
+    assert clean[700].text == "a <TERM> without an address (<TERM>)" and clean[701].text is None and len(clean) == len(rows)
+    pii_terms = pii.TERMS
+    try:
+        pii.TERMS = 1  # one block for each term
+        assert {r.doc_id: sorted(r.more.split(",")) for r in pii.find(docs).collect()} == {d: sorted(m.split(",")) for d, m in more.items()}
+    finally:
+        pii.TERMS = pii_terms
 
 
 def test_pipeline(spark):
@@ -399,8 +435,9 @@ def test_pipeline(spark):
         assert after.columns == docs.columns
         after = spark.createDataFrame(after.collect(), docs.schema)
         if name == "near_dedup":
-            comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(before).collect()}
-            assert sorted(r.doc_id for r in after.collect()) == sorted(set(comp.values()))
+            # texts that share 0.8 of their five-word shingles, as the stage is asked for
+            had = sorted(before.collect(), key=lambda r: r.doc_id)
+            assert sorted(r.doc_id for r in after.collect()) == sorted({had[k].doc_id for k in brute_near([r.text for r in had])})
         if name == "decontamination":
             items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             grams = {w for _, t in items for w in decontam.windows(t)}

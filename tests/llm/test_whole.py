@@ -6,7 +6,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from voxelith.llm import chat, decontam, lm, packing, queries
+from voxelith.llm import chat, decontam, langid, lm, packing, queries, simhash
 
 
 
@@ -163,3 +163,37 @@ def test_stages_take_empty_tables(spark):
 
     none = spark.createDataFrame([], DOC)
     assert P.near_dedup(spark, none, "").count() == 0 and P.decontamination(spark, none, "/root/testdata/sf0.001").count() == 0
+
+
+def test_stages_carry_clashing_columns_and_null_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    bench = [("b", "one two three four five six seven eight nine ten eleven")]
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    body = " ".join(f"word{chr(97 + k % 26)}{k}x" for k in range(40))
+    other = " ".join(f"other{chr(97 + k % 26)}{k}y" for k in range(40))
+    rows = [(None, body), (7, body), (7, other), (None, other + " " + bench[0][1]), (8, None), (None, "mail a@b.com " + " ".join(f"third{chr(97 + k % 26)}z" for k in range(30)))]
+    extra = ["n_words", "failed", "_w", "_row", "_base", "row", "kept", "terms", "entity", "c0"]
+    docs = spark.createDataFrame([(a, b, *(f"{k}-{c}" for c in extra)) for k, (a, b) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    for name, stage in P.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns, name
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+    got = {r["n_words"].split("-")[0]: r for r in docs.collect()}
+    assert sorted(got) == ["1", "2", "5"]  # few words; a copy; a benchmark passage
+    assert got["5"].text.startswith("mail <EMAIL> ") and got["5"]["_w"] == "5-_w" and got["5"].doc_id is None
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 3 - 1
+
+
+def test_a_chain_of_links_takes_few_rounds(spark, monkeypatch):
+    written = []
+    plain = simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df, label: (written.append(label), plain(df, label))[1])
+    edges = spark.createDataFrame([(k, k + 1) for k in range(299)], "a long, b long")
+    roots = simhash.components(edges).collect()
+    assert len(roots) == 300 and {r.root for r in roots} == {0} and written.count("parents") <= 3
+
+
+def test_numerals_are_no_letters():
+    tools = langid.compressors([("en", b" the and of to in is that ", 1), ("de", b" der die und das ist ein ", 1)])
+    assert langid.classify("½ ²³ ① 12", tools)[0] == "und" and langid.classify("the and", tools)[0] == "en"

@@ -4,7 +4,7 @@ A text is compressed, in whole chunks, with one zstandard raw-content
 dictionary for each language; the language with the smallest total is chosen,
 and the choice counts as rejected if the margin to the next is narrow.
 Dictionaries are built from a bounded number of labelled texts for each
-language (``samples``, of at most ``per_sample`` characters each): those with the
+language (``samples``, whole texts of 40 to ``per_sample`` characters): those with the
 smallest hash of their text, so that copies count once.
 
 Defined results: null texts and texts without a letter are ``und`` with score
@@ -22,12 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 4096
-_LETTER = re.compile(r"[^\W\d_]")
 _REST = re.compile(r"[\W\d_]+")
 
 
 def learn(labelled: DataFrame, samples: int = 48, per_sample: int = 65_536) -> list[tuple[str, bytes, int]]:
-    """(language, dictionary, labelled texts) of labelled (text, lang), commonest first. At most about 8 * samples texts of a language, of per_sample characters each, reach the driver at once; a language with fewer different texts than asked gives all of them."""
+    """(language, dictionary, labelled texts) of labelled (text, lang), commonest first. At most about 8 * samples texts of a language, of per_sample characters at most, reach the driver at once; a language with fewer different texts than asked gives all of them."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     # the k smallest hashes: a cut that lets about 8 k texts of each language pass, raised where copies leave too few
@@ -38,8 +37,8 @@ def learn(labelled: DataFrame, samples: int = 48, per_sample: int = 65_536) -> l
         for lang, x in share.items():
             if lang not in found:
                 cut = F.when(F.col("lang") == lang, F.lit(x * wide)).otherwise(cut)
-        part = rows.where(F.length("text") >= 40).withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(wide)) < cut)
-        part = part.groupBy("lang", "h").agg(F.min(F.substring("text", 1, per_sample)).alias("s"))
+        part = rows.where(F.length("text").between(40, per_sample)).withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(wide)) < cut)
+        part = part.groupBy("lang", "h").agg(F.min("text").alias("s"))
         got: dict[str, list] = {}
         for r in part.collect():  # about 8 * samples rows a language
             got.setdefault(r["lang"], []).append((r["h"] % wide, r["h"], r["s"]))
@@ -73,7 +72,7 @@ def chunks(text: str, size: int = CHUNK) -> list[bytes]:
 
 def classify(text: str | None, tools: list) -> tuple[str, float, float]:
     """(language, score, margin): the margin is the share of bytes saved over the next best; the score grows from 1/2 to 1 with it."""
-    if not tools or not text or not _LETTER.search(text):
+    if not tools or not text or not any(map(str.isalpha, text)):
         return "und", 0.0, 0.0
     parts = chunks(letters(text))
     sizes = [sum(len(c.compress(p)) for p in parts) for _, c in tools]

@@ -1,30 +1,41 @@
 """PII detection with information-theoretic sanitisation.
 
-Patterns find e-mail addresses, IP addresses, payment cards and phone numbers:
-the protected entities. Terms near an entity disclose it if, over the corpus,
-seeing the term takes away at least ``share`` of the entity's information:
-log2(P(e | t) / P(e)) >= share * -log2 P(e), with P(e | t) from the documents
-that have both. Only terms that go with the entity in at least ``support``
-different surroundings count, so that copies of one text disclose nothing.
-Such terms become spans of kind ``term`` where they stand near the entity; in
-sanitised text entities and terms are generalised to their kind, or removed.
+Patterns find e-mail addresses, IP addresses, payment cards, phone numbers and
+assigned secrets: the protected entities, each with its kind as a further
+entity. A term discloses an entity if the corpus says so by two measures over
+whole texts (rows that have the term, the entity, or both):
+
+- strength: who sees the term still lacks at most ``residue`` bits to know the
+  entity, -log2 P(e | t) <= residue with P(e | t) = both / (term + PRIOR);
+- evidence: the information that the term gives of the entity, summed over
+  independent texts that have both, log2(P(e | t) / P(e)) each, exceeds the
+  choice among all pairs that were looked at, log2(pairs), by ``margin`` bits.
+
+Texts are independent if they share none of three smallest shingle hashes, so
+copies and near copies of one text are one piece of evidence at most, and a
+pair seen in one text alone never discloses. Disclosing terms become spans of
+kind ``term`` wherever they stand, with an entity or without; in sanitised
+text entities and terms are generalised to their kind, or removed.
 
 Defined results: null texts are empty; repeated rows are found each; two spans
-of different kinds that overlap are both reported and sanitised as one.
+of different kinds that overlap are both reported and sanitised as one; words
+that touch an entity are no terms, nor are those without a letter or digit.
 """
 
 from __future__ import annotations
 
 import bisect
-import hashlib
+import math
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .lm import END, count_words
+from .words import portions, split_words
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -33,6 +44,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# a quoted run that is assigned to a name; it needs letters and digits
+_SECRET = re.compile(r"""(?<=[=:])[\x20]*["']([0-9A-Za-z+/_=-]{20,})["']""")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -82,24 +95,29 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def terms_near(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, hash of the surroundings) for the ``reach`` words on either side of each entity; words that touch an entity aren't terms."""
-    if not spans:
+def secret_spans(text: str | None) -> list[tuple[str, int, int]]:
+    """(secret, start, end) of the runs between the quotes."""
+    if not text:
         return []
+    return [("secret", *m.span(1)) for m in _SECRET.finditer(text) if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])]
+
+
+def terms_of(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The different terms of a text, without words that touch a span."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     starts, taken = [a for a, _ in words], set()
     for _, a, b in spans:
         taken.update(range(_first_after(words, a), bisect.bisect_left(starts, b)))
-    out = []
-    for kind, a, b in spans:
-        lo, hi = _first_after(words, a), bisect.bisect_left(starts, b)
-        near = [k for k in (*range(max(0, lo - reach), lo), *range(hi, min(hi + reach, len(words))))]
-        around = [text[words[k][0] : words[k][1]].lower().strip(".,;:!?") for k in near]
-        mark = int.from_bytes(hashlib.blake2b(" ".join(around).encode(), digest_size=8).digest(), "big", signed=True)
-        for k, t in zip(near, around, strict=True):
-            if t and k not in taken:
-                out.append((f"{kind}:{text[a:b].lower()}", t, *words[k], mark))
-    return out
+    return sorted({t for k, (a, b) in enumerate(words) if k not in taken and (t := term(text[a:b]))})
+
+
+_TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+def term(word: str) -> str:
+    """A word as a term: A-Z lower-cased, without ASCII marks at its ends."""
+    return word.translate(_UPPER).strip(_TRIM)
 
 
 def _first_after(words: list[tuple[int, int]], a: int) -> int:
@@ -113,51 +131,190 @@ def _first_after(words: list[tuple[int, int]], a: int) -> int:
             lo = mid + 1
     return lo
 
+#: Texts that are added to those with a term, none of which has the entity.
+PRIOR = 2.0
+#: Terms in one broadcast; more go in several, one after another.
+TERMS = 200_000
+FOUND = "entities array<string>, terms array<string>, k0 long, k1 long, k2 long"
+_SCALES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def text_keys(names: list[str], at: np.ndarray, bounds: np.ndarray, n: int = 5) -> np.ndarray:
+    """Three keys a text: smallest hashes of its n-word shingles (of all its words, if fewer). Two texts share one with the probability of their shingles' similarity."""
+    import xxhash
+
+    words = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))[at]
+    sizes = np.diff(bounds)
+    out = np.zeros((len(sizes), 3), np.uint64)
+    if not len(words):
+        return out.view(np.int64)
+    rolled = np.zeros(len(words), np.uint64)
+    for k in range(n):
+        part = words[k:]
+        rolled[: len(part)] = rolled[: len(part)] * np.uint64(0x100000001B3) + part
+    # only the first place of a short text counts; it takes in the words of the next text, so it is made of its own
+    starts = np.arange(len(words)) + n
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    good = (starts <= bounds[1:][text]) | (np.arange(len(words)) == bounds[:-1][text])
+    for t in np.flatnonzero((sizes > 0) & (sizes < n)).tolist():
+        own = np.uint64(len(words[bounds[t] : bounds[t + 1]]))
+        for w in words[bounds[t] : bounds[t + 1]]:
+            own = (own * np.uint64(0x100000001B3) + w) & np.uint64(0xFFFFFFFFFFFFFFFF)
+        rolled[bounds[t]] = own
+    some = np.flatnonzero(sizes)
+    for k, scale in enumerate(_SCALES):
+        h = (rolled ^ (rolled >> np.uint64(31))) * scale
+        h ^= h >> np.uint64(29)
+        h[~good] = np.iinfo(np.uint64).max
+        out[some, k] = np.minimum.reduceat(h, bounds[:-1][some])
+    return out.view(np.int64)
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """Texts of docs (text) that have an entity: their entities and kinds, their terms, and three keys."""
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string,a:bigint,b:bigint,mark:bigint>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("mark", pa.int64())]))
-
-
-def detect(docs: DataFrame, reach: int = 4, *keep: str) -> DataFrame:
-    """Pattern matches and the terms near them for docs (doc_id, text), one row a document."""
+    def run(batches):
+        for batch in batches:
+            for part in portions(batch):
+                texts, found = [], []
+                for t in part["text"].to_pylist():
+                    spans = base_spans(t) + secret_spans(t)
+                    if spans:
+                        texts.append(t)
+                        found.append(spans)
+                if not texts:
+                    continue
+                with np.errstate(over="ignore"):
+                    keys = text_keys(*split_words(texts))
+                names = [sorted({f"{k}:{t[a:b].translate(_UPPER)}" for k, a, b in s} | {k for k, *_ in s}) for t, s in zip(texts, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.list_(pa.string())), pa.array([terms_of(t, s) for t, s in zip(texts, found, strict=True)], pa.list_(pa.string())), *(pa.array(keys[:, k]) for k in range(3))], ["entities", "terms", "k0", "k1", "k2"])
+
+    return docs.select("text").mapInArrow(run, FOUND)
+
+
+def count_terms(docs: DataFrame, wanted) -> DataFrame:
+    """(term, n): rows of docs (text) that have the term. wanted: a broadcast of the terms to count, None for all. Tasks sum before the shuffle."""
 
     def run(batches):
+        only = None if wanted is None else pa.array(wanted.value, pa.string())
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                spans, near = [], []
-                for t in part["text"]:
-                    text = t.as_py() or ""
-                    spans.append(base_spans(text))
-                    near.append([dict(zip(("entity", "term", "a", "b", "mark"), x, strict=True)) for x in terms_near(text, spans[-1], reach)])
-                counts = [pa.array([sum(s[0] == k for s in x) for x in spans], pa.int64()) for k in KINDS]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *counts, pa.array([joined(x) for x in spans], pa.string()), pa.array(near, _NEAR)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+            for part in portions(batch):
+                names, at, bounds = split_words(part["text"].to_pylist())
+                if not len(at):
+                    continue
+                terms = pc.utf8_trim(pa.array(names, pa.string()), _TRIM).dictionary_encode()
+                kinds = len(terms.dictionary)
+                own = terms.indices.to_numpy()[at].astype(np.int64)
+                pairs = np.unique(np.repeat(np.arange(part.num_rows), np.diff(bounds)) * kinds + own)
+                n = np.bincount(pairs % kinds, minlength=kinds)
+                keep = terms.dictionary if only is None else terms.dictionary.filter(good := pc.is_in(terms.dictionary, only))
+                yield pa.RecordBatch.from_arrays([keep, pa.array(n if only is None else n[good.to_numpy(zero_copy_only=False)])], ["term", "n"])
+
+    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def independent(found: DataFrame) -> DataFrame:
+    """(entity, terms) of the rows that are the first of each of their three keys, for each of their entities."""
+    rows = materialise(found.withColumn("row", F.monotonically_increasing_id()), "entity-texts")
+    kept = rows.select("row", "k0", "k1", "k2")
+    for k in ("k0", "k1", "k2"):
+        kept = kept.join(kept.groupBy(k).agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    return rows.join(materialise(kept.select("row"), "independent"), "row", "left_semi").select(F.explode("entities").alias("entity"), "terms")
+
+
+def disclosing(docs: DataFrame, residue: float = 1.0, margin: float = 7.0) -> DataFrame:
+    """(entity, term) pairs over both thresholds in docs (text), the corpus; an entity is kind:value or a kind."""
+    found = materialise(entities(docs), "entities")
+    spark, total = docs.sparkSession, docs.count()
+    alone = materialise(independent(found), "independent-texts")
+    # no pair can have more independent texts than its entity
+    seen = alone.groupBy("entity").agg(F.count("*").alias("u_e")).where("u_e > 1").select("entity")
+    seen = materialise(seen, "repeated-entities")
+    pairs = materialise(alone.join(seen, "entity", "left_semi").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("u_et")), "pairs")
+    looked = pairs.count()
+    pairs = pairs.where("u_et > 1")
+    rows = found.select(F.explode("entities").alias("entity"), "terms").join(seen, "entity", "left_semi")
+    n_e = rows.groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_et = rows.select("entity", F.explode("terms").alias("term")).join(pairs, ["entity", "term"]).groupBy("entity", "term", "u_et").agg(F.count("*").alias("n_et"))
+    n_et = materialise(n_et.join(n_e, "entity"), "pair-counts")
+    terms = n_et.select("term").distinct()
+    some = terms.limit(5 * TERMS + 1).toArrow()["term"].to_pylist()  # bounded by the limit; beyond it all terms are counted
+    if not some:
+        return n_et.select("entity", "term")
+    counted = count_terms(docs, spark.sparkContext.broadcast(some) if len(some) <= 5 * TERMS else None)
+    told = n_et.join(counted, "term")
+    p_et, p_e = F.col("n_et") / (F.col("n") + PRIOR), F.col("n_e") / F.lit(max(total, 1))
+    bits = F.col("u_et") * F.log2(p_et / p_e)
+    return materialise(told.where((-F.log2(p_et) <= residue) & (bits >= math.log2(max(looked, 1)) + margin)).select("entity", "term"), "disclosing")
+
+
+def blocks_of(pairs: DataFrame) -> list[list[str]]:
+    """The terms of pairs, in blocks of TERMS at most."""
+    terms, at, out = pairs.select("term").distinct().orderBy("term"), None, []
+    while True:
+        part = [r["term"] for r in (terms if at is None else terms.where(F.col("term") > at)).limit(TERMS).collect()]  # TERMS rows at most
+        if part:
+            out.append(part)
+        if len(part) < TERMS:
+            return out
+        at = part[-1]
+
+
+def term_spans(texts: list[str | None], told: set[str]) -> list[str]:
+    """Spans of disclosing terms in each text, as kind:start:end, comma-joined; words that touch an entity are no terms."""
+    out = [""] * len(texts)
+    if not told:
+        return out
+    names, at, bounds = split_words(texts)
+    hit = np.array([x.strip(_TRIM) in told for x in names], bool)
+    if not hit.any():
+        return out
+    places = np.concatenate([[0], np.cumsum(hit[at])])
+    for k in np.flatnonzero(places[bounds[1:]] > places[bounds[:-1]]).tolist():
+        text = texts[k]
+        spans = base_spans(text) + secret_spans(text)
+        found = []
+        for m in _WORD.finditer(text):
+            if term(m[0]) in told and not any(a < m.end() and m.start() < b for _, a, b in spans):
+                inside = m[0].translate(_UPPER)
+                begin = m.start() + len(inside) - len(inside.lstrip(_TRIM))
+                found.append(("term", begin, begin + len(term(m[0]))))
+        out[k] = joined(found)
+    return out
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
+def with_terms(rows: DataFrame, blocks: list[list[str]]) -> DataFrame:
+    """rows (kept struct, text, terms string) with the spans of all blocks of terms added; a block is a broadcast."""
+    spark = rows.sparkSession
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
 
+        def run(batches, shared=shared):
+            told = set(shared.value)
+            for batch in batches:
+                for part in portions(batch):
+                    more = [",".join(x for x in (old, new) if x) for old, new in zip(part["terms"].to_pylist(), term_spans(part["text"].to_pylist(), told), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part["kept"], part["text"], pa.array(more, pa.string())], ["kept", "text", "terms"])
 
-def disclosing(near: DataFrame, docs: DataFrame, share: float = 0.5, support: int = 3) -> DataFrame:
-    """(entity, term) pairs over the threshold. near: (entity, term, mark) occurrences; docs: (text), the corpus."""
-    marks = near.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = near.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    pairs = materialise(pairs.join(marks, "entity"), "disclosing-candidates")
-    total = docs.count()
-    if pairs.isEmpty():
-        return pairs.select("entity", "term")
-    words = count_words(docs.select("text", F.lit(0).alias("mode"))).where(F.col("word") != END).select(F.lower(F.expr("trim(BOTH '.,;:!?' FROM word)")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n_t"))
-    seen = pairs.join(words, "term")
-    p_e, p_et = F.least(F.col("n_e") / F.lit(max(total, 2)), F.lit(0.5)), F.least(F.col("n_et") / F.greatest("n_t", "n_et"), F.lit(1.0))
-    return materialise(seen.where(F.log2(p_et / p_e) >= share * -F.log2(p_e)).select("entity", "term"), "disclosing")
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows
 
 
-def find(docs: DataFrame, reach: int = 4, share: float = 0.5, support: int = 3) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base, terms for docs (doc_id, text); base and terms list spans as kind:start:end, comma-joined."""
-    rows = detect(docs, reach).withColumn("row", F.monotonically_increasing_id())
-    rows = materialise(rows, "pii")
-    near = rows.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    told = near.join(disclosing(near, docs, share, support), ["entity", "term"], "left_semi")
-    terms = told.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("t"))
-    return rows.drop("near").join(terms, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.coalesce(F.array_join(F.transform("t", lambda x: F.concat_ws(":", F.lit("term"), x["a"].cast("string"), x["b"].cast("string"))), ","), F.lit("")).alias("terms"))
+def find(docs: DataFrame, residue: float = 1.0, margin: float = 7.0) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base, more for docs (doc_id, text); base and more list spans as kind:start:end, comma-joined, more has secrets and then terms."""
+    blocks = blocks_of(disclosing(docs, residue, margin))
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("kept"), "text", F.lit("").alias("terms"))
+
+    def run(batches):
+        for batch in batches:
+            for part in portions(batch):
+                texts = part["text"].to_pylist()
+                spans = [base_spans(t) for t in texts]
+                counts = [pa.array([sum(s[0] == k for s in x) for x in spans], pa.int64()) for k in KINDS]
+                more = [",".join(x for x in (joined(secret_spans(t)), own) if x) for t, own in zip(texts, part["terms"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pc.struct_field(part["kept"], "doc_id"), *counts, pa.array([joined(x) for x in spans], pa.string()), pa.array(more, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "more"])
+
+    return with_terms(rows, blocks).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, more string")
 
 
 def replace_spans(text: str, spans: str, keep_kind: bool = True) -> str:
@@ -171,39 +328,19 @@ def replace_spans(text: str, spans: str, keep_kind: bool = True) -> str:
     return "".join([*out, text[last:]])
 
 
-def sanitise(docs: DataFrame, reach: int = 4, share: float = 0.5, support: int = 3, keep_kind: bool = True) -> DataFrame:
-    """docs (doc_id, text, ...) with sanitised texts and all other columns as they were. Texts with no pattern are passed on without a shuffle of theirs."""
-    pairs = disclosing(detect(docs, reach).select(F.explode("near").alias("x")).select("x.*"), docs, share, support)
-    columns = docs.columns
-    hits = docs.select("*", F.monotonically_increasing_id().alias("_row"))
-
-    def run(batches):
-        names = None
-        for batch in batches:
-            names = names or batch.schema.names
-            k = names.index("text")
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                spans, near = [], []
-                for t in part["text"]:
-                    text = t.as_py() or ""
-                    found = base_spans(text)
-                    spans.append(joined(found))
-                    near.append([dict(zip(("entity", "term", "a", "b", "mark"), x, strict=True)) for x in terms_near(text, found, reach)])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(spans, pa.string()), pa.array(near, _NEAR)], [*names, "_base", "_near"])
-            del k
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema) + ", _base string, _near array<struct<entity:string,term:string,a:bigint,b:bigint,mark:bigint>>"
-    rows = materialise(hits.mapInArrow(run, schema), "pii-texts")
-    told = rows.select("_row", F.explode("_near").alias("x")).select("_row", "x.entity", "x.term", "x.a", "x.b").join(pairs, ["entity", "term"], "left_semi")
-    terms = told.groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", F.lit("term"), F.col("a").cast("string"), F.col("b").cast("string")))), ",").alias("_terms"))
-    some = rows.where("_base <> ''").join(terms, "_row", "left").select(*columns, F.concat_ws(",", "_base", F.coalesce("_terms", F.lit(""))).alias("_spans"))
+def sanitise(docs: DataFrame, residue: float = 1.0, margin: float = 7.0, keep_kind: bool = True) -> DataFrame:
+    """docs (text, ...) with sanitised texts and all other columns as they were; a null text stays null where nothing is found. Texts are never shuffled."""
+    blocks = blocks_of(disclosing(docs, residue, margin))
+    others = [c for c in docs.columns if c != "text"]
+    kept = F.struct(F.lit(0).alias("at"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)))
+    rows = with_terms(docs.select(kept.alias("kept"), "text", F.lit("").alias("terms")), blocks)
 
     def swap(batches):
         for batch in batches:
-            names = batch.schema.names
-            k = names.index("text")
-            new = pa.array([replace_spans(t.as_py() or "", s.as_py(), keep_kind) for t, s in zip(batch["text"], batch["_spans"], strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([new if i == k else batch.column(i) for i in range(len(names) - 1)], names[:-1])
+            for part in portions(batch):
+                texts = [t if t is None else replace_spans(t, ",".join([joined(base_spans(t) + secret_spans(t)), more]), keep_kind) for t, more in zip(part["text"].to_pylist(), part["terms"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part["kept"], pa.array(texts, pa.string())], ["kept", "text"])
 
-    return rows.where("_base = ''").select(*columns).unionByName(some.mapInArrow(swap, docs.schema))
+    rows = rows.mapInArrow(swap, rows.select("kept", "text").schema)
+    place = {c: k for k, c in enumerate(others)}
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"kept.c{place[c]}").alias(c) for c in docs.columns))

@@ -72,7 +72,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    spans = F.when(F.col("terms") == "", F.col("base")).otherwise(F.concat_ws(",", "base", "terms"))
+    spans = F.when(F.col("base") == "", F.col("more")).when(F.col("more") == "", F.col("base")).otherwise(F.concat_ws(",", "base", "more"))
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), spans.alias("spans"))
 
 

@@ -4,8 +4,10 @@ Two 64-bit fingerprints at most r <= 2 bits apart share at least m = 8 - r of
 their 8 bytes in place. The index has a posting list for each set of m byte
 positions and their values; two fingerprints meet in a list exactly if their
 tally of shared positional bytes reaches the guaranteed minimum m. A list holds
-at most 256 ** r different fingerprints, however many documents there are. In a
-list, members are verified and linked to a spanning forest in time linear in
+at most 256 ** r different fingerprints, however many documents there are. This
+departs from lists of single bytes, which would hold n / 256 documents each and
+make all their pairs; the count filter is applied to each pair that a list
+proposes, before its bits are compared. In a list, members are verified and linked to a spanning forest in time linear in
 its length once it's long, so no list makes all its pairs.
 
 Documents are first grouped by fingerprint, so exact copies never meet in a
@@ -65,6 +67,11 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def tally(a: int, b: int) -> int:
+    """Bytes that two fingerprints share in place."""
+    return (a ^ b).to_bytes(8, "big").count(0)
+
+
 def forest(members: np.ndarray, r: int) -> list[tuple[int, int]]:
     """Links that join all members (distinct unsigned fingerprints) as all links at most r bits apart would."""
     out: list[tuple[int, int]] = []
@@ -96,7 +103,7 @@ def forest(members: np.ndarray, r: int) -> list[tuple[int, int]]:
     for k, v in enumerate(values):
         for x in near:
             other = place.get(v ^ x)
-            if other is not None and other < k:
+            if other is not None and other < k and tally(v, values[other]) >= 8 - r:
                 link(k, other)
     return out
 
@@ -126,7 +133,7 @@ def links(distinct: DataFrame, r: int = 2) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): the smallest node that it reaches.
 
-    Each round every node takes its smallest neighbour as parent, parents are followed once more, and the links between different parents go on. A round leaves fewer nodes, so the number of rounds is about the logarithm of the longest path.
+    Each round every node takes its smallest neighbour as parent, parents are followed to the top by doubling, and the links between different tops go on. A round leaves at most half of the nodes that still have links, and doubling takes the logarithm of a chain's length.
     """
     edges = materialise(edges, "links")
     nodes = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("root"))
@@ -135,8 +142,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         parent = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
         parent = materialise(parent, "parents")
-        up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        parent = materialise(parent.join(up, "p").select("a", "pp"), "grandparents")
+        moved = True
+        while moved:
+            up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+            higher = materialise(parent.join(up, "p").select("a", "pp", (F.col("pp") != F.col("p")).alias("moved")), "grandparents")
+            moved = not higher.where("moved").isEmpty()
+            parent = higher.select("a", F.col("pp").alias("p"))
+        parent = parent.withColumnRenamed("p", "pp")
         nodes = materialise(nodes.join(parent, nodes["root"] == parent["a"], "left").select("node", F.coalesce("pp", "root").alias("root")), "roots")
         x, y = parent.select("a", F.col("pp").alias("x")), parent.select(F.col("a").alias("b"), F.col("pp").alias("y"))
         edges = materialise(edges.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")

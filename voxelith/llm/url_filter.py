@@ -78,7 +78,7 @@ def fit(urls: DataFrame, labels: DataFrame, depth: int = DEPTH, rare: int = 8, m
     )
     table = materialise(counts.select("host", "segs", "n", "good", "bad", *[F.col("segs")[j].alias(f"s{j}") for j in range(depth)]), "url-branches")
     for i in range(depth):
-        table = _level(table, i, rare, many, z)
+        table = materialise(_level(table, i, rare, many, z), f"url-level-{i}")
     table = table.withColumn("template", F.concat_ws("/", *[f"s{j}" for j in range(depth)]))
     table = materialise(table.select("host", "segs", "template", "n", "good", "bad"), "url-tree")
     every = table.agg(F.sum("good").alias("g0"), F.sum("bad").alias("b0"))
