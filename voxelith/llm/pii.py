@@ -133,6 +133,8 @@ def _first_after(words: list[tuple[int, int]], a: int) -> int:
 
 #: Texts that are added to those with a term, none of which has the entity.
 PRIOR = 2.0
+#: Bytes of texts that are worked on at once.
+PORTION = 3_000_000
 #: Terms in one broadcast; more go in several, one after another.
 TERMS = 200_000
 FOUND = "entities array<string>, terms array<string>, k0 long, k1 long, k2 long"
@@ -175,7 +177,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, size=PORTION):
                 texts, found = [], []
                 for t in part["text"].to_pylist():
                     spans = base_spans(t) + secret_spans(t)
@@ -196,19 +198,19 @@ def count_terms(docs: DataFrame, wanted) -> DataFrame:
     """(term, n): rows of docs (text) that have the term. wanted: a broadcast of the terms to count, None for all. Tasks sum before the shuffle."""
 
     def run(batches):
-        only = None if wanted is None else pa.array(wanted.value, pa.string())
+        only = None if wanted is None else set(wanted.value)
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, size=PORTION):
                 names, at, bounds = split_words(part["text"].to_pylist())
-                if not len(at):
+                place: dict[str, int] = {}
+                trimmed = [x.strip(_TRIM) for x in names]
+                own = np.array([place.setdefault(x, len(place)) if only is None or x in only else -1 for x in trimmed], np.int64)
+                if not place:
                     continue
-                terms = pc.utf8_trim(pa.array(names, pa.string()), _TRIM).dictionary_encode()
-                kinds = len(terms.dictionary)
-                own = terms.indices.to_numpy()[at].astype(np.int64)
-                pairs = np.unique(np.repeat(np.arange(part.num_rows), np.diff(bounds)) * kinds + own)
-                n = np.bincount(pairs % kinds, minlength=kinds)
-                keep = terms.dictionary if only is None else terms.dictionary.filter(good := pc.is_in(terms.dictionary, only))
-                yield pa.RecordBatch.from_arrays([keep, pa.array(n if only is None else n[good.to_numpy(zero_copy_only=False)])], ["term", "n"])
+                own = own[at]
+                hit = np.flatnonzero(own >= 0)
+                pairs = np.unique(np.repeat(np.arange(part.num_rows), np.diff(bounds))[hit] * len(place) + own[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), pa.array(np.bincount(pairs % len(place), minlength=len(place)))], ["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -232,20 +234,26 @@ def disclosing(docs: DataFrame, residue: float = 1.0, margin: float = 7.0) -> Da
     seen = materialise(seen, "repeated-entities")
     pairs = materialise(alone.join(seen, "entity", "left_semi").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("u_et")), "pairs")
     looked = pairs.count()
-    pairs = pairs.where("u_et > 1")
     rows = found.select(F.explode("entities").alias("entity"), "terms").join(seen, "entity", "left_semi")
     n_e = rows.groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_et = rows.select("entity", F.explode("terms").alias("term")).join(pairs, ["entity", "term"]).groupBy("entity", "term", "u_et").agg(F.count("*").alias("n_et"))
-    n_et = materialise(n_et.join(n_e, "entity"), "pair-counts")
-    terms = n_et.select("term").distinct()
-    some = terms.limit(5 * TERMS + 1).toArrow()["term"].to_pylist()  # bounded by the limit; beyond it all terms are counted
+    p_e, least = F.col("n_e") / F.lit(max(total, 1)), math.log2(max(looked, 1)) + margin
+
+    def enough(pairs: DataFrame, n) -> DataFrame:
+        """Pairs over both thresholds if n rows had the term."""
+        p_et = F.col("n_et") / (n + PRIOR)
+        return pairs.where((-F.log2(p_et) <= residue) & (F.col("u_et") * F.log2(p_et / p_e) >= least))
+
+    # what can't have the evidence with a strength of 1, or the strength by the texts with entities alone, needs no count over the corpus
+    pairs = pairs.where("u_et > 1").join(n_e, "entity").where(F.col("u_et") * -F.log2(p_e) >= least)
+    n_et = rows.select("entity", F.explode("terms").alias("term")).join(pairs, ["entity", "term"]).groupBy("entity", "term", "u_et", "n_e").agg(F.count("*").alias("n_et"))
+    n_et = materialise(n_et, "pair-counts")
+    within = found.select(F.explode("terms").alias("term")).join(n_et.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("within"))
+    n_et = materialise(enough(n_et.join(within, "term"), F.col("within")), "candidates")
+    some = n_et.select("term").distinct().limit(TERMS + 1).toArrow()["term"].to_pylist()  # bounded by the limit; beyond it all terms are counted
     if not some:
         return n_et.select("entity", "term")
-    counted = count_terms(docs, spark.sparkContext.broadcast(some) if len(some) <= 5 * TERMS else None)
-    told = n_et.join(counted, "term")
-    p_et, p_e = F.col("n_et") / (F.col("n") + PRIOR), F.col("n_e") / F.lit(max(total, 1))
-    bits = F.col("u_et") * F.log2(p_et / p_e)
-    return materialise(told.where((-F.log2(p_et) <= residue) & (bits >= math.log2(max(looked, 1)) + margin)).select("entity", "term"), "disclosing")
+    counted = count_terms(docs, spark.sparkContext.broadcast(some) if len(some) <= TERMS else None)
+    return materialise(enough(n_et.join(counted, "term"), F.col("n")).select("entity", "term"), "disclosing")
 
 
 def blocks_of(pairs: DataFrame) -> list[list[str]]:
@@ -283,38 +291,40 @@ def term_spans(texts: list[str | None], told: set[str]) -> list[str]:
     return out
 
 
-def with_terms(rows: DataFrame, blocks: list[list[str]]) -> DataFrame:
-    """rows (kept struct, text, terms string) with the spans of all blocks of terms added; a block is a broadcast."""
+def with_terms(rows: DataFrame, blocks: list[list[str]]):
+    """(rows (kept struct, text, terms string) with the spans of all blocks of terms but the last added, a broadcast of the last). Few corpora have a second block."""
     spark = rows.sparkSession
-    for block in blocks:
+    for block in blocks[:-1]:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             told = set(shared.value)
             for batch in batches:
-                for part in portions(batch):
+                for part in portions(batch, size=PORTION):
                     more = [",".join(x for x in (old, new) if x) for old, new in zip(part["terms"].to_pylist(), term_spans(part["text"].to_pylist(), told), strict=True)]
                     yield pa.RecordBatch.from_arrays([part["kept"], part["text"], pa.array(more, pa.string())], ["kept", "text", "terms"])
 
         rows = rows.mapInArrow(run, rows.schema)
-    return rows
+    return rows, spark.sparkContext.broadcast(blocks[-1] if blocks else [])
 
 
 def find(docs: DataFrame, residue: float = 1.0, margin: float = 7.0) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base, more for docs (doc_id, text); base and more list spans as kind:start:end, comma-joined, more has secrets and then terms."""
     blocks = blocks_of(disclosing(docs, residue, margin))
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("kept"), "text", F.lit("").alias("terms"))
+    rows, last = with_terms(rows, blocks)
 
     def run(batches):
+        told = set(last.value)
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, size=PORTION):
                 texts = part["text"].to_pylist()
                 spans = [base_spans(t) for t in texts]
                 counts = [pa.array([sum(s[0] == k for s in x) for x in spans], pa.int64()) for k in KINDS]
-                more = [",".join(x for x in (joined(secret_spans(t)), own) if x) for t, own in zip(texts, part["terms"].to_pylist(), strict=True)]
+                more = [",".join(x for x in (joined(secret_spans(t)), *own) if x) for t, *own in zip(texts, part["terms"].to_pylist(), term_spans(texts, told), strict=True)]
                 yield pa.RecordBatch.from_arrays([pc.struct_field(part["kept"], "doc_id"), *counts, pa.array([joined(x) for x in spans], pa.string()), pa.array(more, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "more"])
 
-    return with_terms(rows, blocks).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, more string")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, more string")
 
 
 def replace_spans(text: str, spans: str, keep_kind: bool = True) -> str:
@@ -333,12 +343,14 @@ def sanitise(docs: DataFrame, residue: float = 1.0, margin: float = 7.0, keep_ki
     blocks = blocks_of(disclosing(docs, residue, margin))
     others = [c for c in docs.columns if c != "text"]
     kept = F.struct(F.lit(0).alias("at"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)))
-    rows = with_terms(docs.select(kept.alias("kept"), "text", F.lit("").alias("terms")), blocks)
+    rows, last = with_terms(docs.select(kept.alias("kept"), "text", F.lit("").alias("terms")), blocks)
 
     def swap(batches):
+        told = set(last.value)
         for batch in batches:
-            for part in portions(batch):
-                texts = [t if t is None else replace_spans(t, ",".join([joined(base_spans(t) + secret_spans(t)), more]), keep_kind) for t, more in zip(part["text"].to_pylist(), part["terms"].to_pylist(), strict=True)]
+            for part in portions(batch, size=PORTION):
+                texts = part["text"].to_pylist()
+                texts = [t if t is None else replace_spans(t, ",".join([joined(base_spans(t) + secret_spans(t)), *more]), keep_kind) for t, *more in zip(texts, part["terms"].to_pylist(), term_spans(texts, told), strict=True)]
                 yield pa.RecordBatch.from_arrays([part["kept"], pa.array(texts, pa.string())], ["kept", "text"])
 
     rows = rows.mapInArrow(swap, rows.select("kept", "text").schema)
