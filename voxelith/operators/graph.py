@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Doubling reaches over 2 ** ROUNDS steps; what still moves then is a cycle.
+ROUNDS = 48
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with checkpoint() in the session's checkpoint folder; a temporary one only where none is set."""
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="voxelith-"))
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
@@ -19,14 +26,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fixpoint_roots(nodes: DataFrame, key: str, up: str, steps: str) -> DataFrame:
-    """Pointer doubling: nodes (key, up, steps) with up = key at roots; up becomes the root and steps the distance."""
+    """Pointer doubling: nodes (key, up, steps) with up = key at roots; up becomes the root and steps the distance. A node above that isn't in the table is a root. A cycle is an error."""
     nodes = cut(nodes.select(key, up, F.col(steps).cast("int").alias(steps)))
-    while True:
+    for _ in range(ROUNDS):
         above = nodes.select(F.col(key).alias("_k"), F.col(up).alias("_u"), F.col(steps).alias("_s"))
-        new = cut(nodes.join(above, nodes[up] == above["_k"]).select(key, F.col("_u").alias(up), (F.col(steps) + F.col("_s")).alias(steps), (F.col("_u") != F.col(up)).alias("_moved")))
+        new = cut(nodes.join(above, nodes[up] == above["_k"], "left").select(key, F.coalesce("_u", up).alias(up), (F.col(steps) + F.coalesce("_s", F.lit(0))).alias(steps), F.coalesce(F.col("_u") != F.col(up), F.lit(False)).alias("_moved")))
         if new.where("_moved").isEmpty():
             return new.drop("_moved")
         nodes = new.drop("_moved")
+    raise ValueError(f"{key} and {up} make a cycle")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -126,19 +126,46 @@ def choose_h(sweep: DataFrame, thau: int = 25) -> DataFrame:
 
 # --- names and fates ---------------------------------------------------------------
 
-#: Coarse fates by the names (without side) of the cells that found them.
+#: Coarse fates, by the names (without side) of the cells that found them, and their colours.
 FATES = {
-    "endoderm": ("a7.0001", "a7.0002", "a7.0005", "b7.0001", "b7.0002"),
-    "germ line": ("b7.0006",),
-    "mesoderm": ("a7.0003", "a7.0006", "a7.0007", "b7.0003", "b7.0004", "b7.0005", "b7.0007", "b7.0008"),
-    "nervous system": ("a7.0004", "a7.0008", "a7.0009", "a7.0010", "a7.0013"),
-    "epidermis": ("a7.0011", "a7.0012", "a7.0014", "a7.0015", "a7.0016", "b7.0009", "b7.0010", "b7.0011", "b7.0012", "b7.0013", "b7.0014", "b7.0015", "b7.0016"),
+    "Endoderm": (["a7.0001", "a7.0002", "a7.0005", "b7.0001", "b7.0002", "b9.0034"], 7),
+    "germ line": (["b7.0006"], 3),
+    "Epidermis": (["a7.0011", "a7.0012", "a7.0014", "a7.0015", "a7.0016", "b8.0020", "b8.0018", "b7.0011", "b7.0012", "b7.0013", "b7.0014", "b7.0015", "b7.0016"], 2),
+    "Mesoderm": (["a7.0003", "a7.0006", "a7.0007", "b7.0003", "b7.0005", "b7.0004", "b7.0008", "a9.0031", "b9.0033", "b7.0007"], 6),
+    "Nervous system": (["a7.0004", "a7.0009", "a7.0010", "a7.0013", "a8.0015", "a9.0032", "b8.0019"], 5),
+}
+#: Fine fates, as above.
+FINE_FATES = {
+    "Anterior Endoderm": (["a7.0001", "a7.0002", "a7.0005"], 1),
+    "Posterior Endoderm": (["b7.0001", "b7.0002", "b9.0034"], 2),
+    "germ line": (["b7.0006"], 3),
+    "Mesoderm 1 Notochord": (["a7.0003", "a7.0007"], 4),
+    "Mesoderm 2 Notochord": (["b8.0006"], 5),
+    "Mesoderm Trunk Lateral Cell": (["a7.0006"], 6),
+    "Mesoderm Trunk ventral Cell": (["b7.0005"], 7),
+    "Mesoderm First Muscle": (["b7.0004", "b7.0008"], 8),
+    "Mesoderm Second Muscle": (["a9.0031", "b9.0033"], 9),
+    "Mesoderm Mesenchyme": (["b7.0007", "b8.0005"], 10),
+    "Posterior ventral Neural Plate": (["a7.0004"], 11),
+    "Anterior + Dorsal Neural Plate": (["a7.0009", "a7.0010", "b8.0019"], 12),
+    "Lateral Neural Plate": (["a7.0013", "a8.0015", "a9.0032"], 13),
+    "Trunk Epidermis": (["a7.0011", "a7.0012", "a7.0014", "a7.0015", "a7.0016"], 14),
+    "Midline Tail Epidermis": (["b8.0020", "b8.0018", "b9.0041", "b8.0027", "b9.0056", "b9.0062", "b9.0064"], 15),
+    "Mediolateral Tail Epidermis": (["b8.0024", "b9.0045", "b9.0042", "b9.0043", "b9.0049", "b9.0055", "b9.0061", "b9.0063"], 16),
+    "Lateral Tail Epidermis": (["b9.0044", "b8.0026", "b9.0050", "b9.0046", "b8.0029", "b8.0030"], 17),
 }
 
 
 def pad_name(name: Column) -> Column:
-    """a7.12* becomes a7.0012*."""
-    return F.regexp_replace(F.concat(F.regexp_extract(name, r"^([a-z][0-9]+)\.", 1), F.lit("."), F.lpad(F.regexp_extract(name, r"\.([0-9]+)", 1), 4, "0"), F.regexp_extract(name, r"([*_]?)$", 1)), r"^\.", "")
+    """a7.12* becomes a7.012*: the number is the last three digits of 00 and what it was."""
+    parts = F.split(name, r"\.")
+    return F.transform(F.array(F.regexp_replace(F.get(parts, F.lit(1)), ".$", "")), lambda n: F.concat(F.get(parts, F.lit(0)), F.lit("."), F.right(F.concat(F.lit("00"), n), F.lit(3)), F.right(name, F.lit(1))))[0]
+
+
+def times_named(pattern: Column, first: str, t1: Column, second: str, t2: Column) -> Column:
+    """A file name with two placeholders replaced by times of three digits."""
+    digits = lambda t: F.right(F.concat(F.lit("00"), t.cast("string")), F.lit(3))
+    return F.replace(F.replace(pattern, F.lit(first), digits(t1)), F.lit(second), digits(t2))
 
 
 def daughter_name(mother: Column, j: Column) -> Column:
@@ -166,14 +193,18 @@ def name_propagation(edges: DataFrame, start: DataFrame, order: DataFrame) -> Da
     return propagate(ranked, start, lambda: F.when(F.col("n") > 1, daughter_name(F.col("name"), F.col("rank"))).otherwise(F.col("name")), "name")
 
 
-def fate_table(spark, fates: dict[str, tuple[str, ...]] = FATES) -> DataFrame:
-    return spark.createDataFrame([(n, f) for f, names in fates.items() for n in names], "short string, fate string")
+def fate_table(spark, fates: dict = FATES) -> DataFrame:
+    return spark.createDataFrame([(n, f) for f, (names, _) in fates.items() for n in names], "short string, fate string")
 
 
-def fate_map(edges: DataFrame, names: DataFrame, fates: dict[str, tuple[str, ...]] = FATES) -> DataFrame:
-    """Fate of each named cell by its own name, and of all cells below it."""
-    own = names.withColumn("short", F.expr("left(name, length(name) - 1)")).join(F.broadcast(fate_table(names.sparkSession, fates)), "short").select("cell_id", "fate")
-    return propagate(edges, own, lambda: F.col("fate"), "fate")
+def fate_map(edges: DataFrame, names: DataFrame, fates: dict = FATES) -> DataFrame:
+    """Fate of each cell: its mother's, if she has one, else that of its own name. names: (cell_id, name) of all named cells."""
+    short = F.replace(F.expr("left(name, greatest(length(name) - 1, 0))"), F.lit(" "), F.lit(""))
+    own = names.withColumn("short", short).join(F.broadcast(fate_table(names.sparkSession, fates)), "short").select("cell_id", F.col("fate").alias("own"))
+    every = edges.select(F.col("parent").alias("cell_id")).union(names.select("cell_id")).distinct()
+    start = every.join(edges.select(F.col("child").alias("cell_id")), "cell_id", "left_anti").join(own, "cell_id", "left").withColumnRenamed("own", "fate")
+    below = edges.join(own.withColumnRenamed("cell_id", "child"), "child", "left")
+    return propagate(below, start, lambda: F.coalesce("fate", "own"), "fate").where("fate IS NOT NULL")
 
 
 def tlp_rows(edges: DataFrame, cells: DataFrame) -> DataFrame:

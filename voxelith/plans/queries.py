@@ -129,26 +129,50 @@ _chain = ", n AS (SELECT parent FROM edges GROUP BY 1 HAVING count(*) = 1), sing
 query("undivided_chains", "edges cells", lambda e, c: L.chains(e, c).select("cell_id", "chain_id", "place"), f"{_chain} SELECT cell_id, chain_id, place FROM r")
 query("chain_volume_series", "edges cells", L.chain_volumes, f"{_chain} SELECT chain_id, place, cell_id, CAST(coalesce(lag(volume) OVER (PARTITION BY chain_id ORDER BY place), volume) AS BIGINT) AS series, CAST(count(*) OVER (PARTITION BY chain_id) AS INT) AS length FROM r JOIN cells USING (cell_id)")
 query("sister_correlation", "edges cells", L.sister_correlation, f"{_chain}, s AS (SELECT chain_id, place, coalesce(lag(volume) OVER (PARTITION BY chain_id ORDER BY place), volume) AS series, count(*) OVER (PARTITION BY chain_id) AS length FROM r JOIN cells USING (cell_id)), p AS (SELECT a.child AS cell_id, b.child AS sister FROM edges a JOIN edges b USING (parent) WHERE a.child < b.child) SELECT cell_id, sister, CAST(count(*) AS INT) AS n, CASE WHEN stddev_samp(a.series) * stddev_samp(b.series) = 0 THEN NULL ELSE round(covar_samp(a.series, b.series) / (stddev_samp(a.series) * stddev_samp(b.series)), 6) END AS r FROM p JOIN s a ON a.chain_id = cell_id JOIN s b ON b.chain_id = sister AND a.place = b.place WHERE a.place < least(a.length, b.length) - 1 GROUP BY 1, 2")
-query("branches_to_delete", "edges cells", lambda e, c: L.branches_to_delete(e, c, 50_000, 4, 3).select("chain_id", "leaf", "length"), None)
+query("branches_to_delete", "edges cells", lambda e, c: L.branches_to_delete(e, c, 50_000, 4, 3).select("chain_id", "leaf", "length"), f"{_chain}, s AS (SELECT chain_id, place, cell_id, coalesce(lag(volume) OVER (PARTITION BY chain_id ORDER BY place), volume) AS series, count(*) OVER (PARTITION BY chain_id) AS length FROM r JOIN cells USING (cell_id)), p AS (SELECT a.child AS cell_id, b.child AS sister FROM edges a JOIN edges b USING (parent) WHERE a.child <> b.child), q AS (SELECT p.cell_id AS chain_id, CASE WHEN stddev_samp(a.series) * stddev_samp(b.series) = 0 THEN NULL ELSE round(covar_samp(a.series, b.series) / (stddev_samp(a.series) * stddev_samp(b.series)), 6) END AS r FROM p JOIN s a ON a.chain_id = p.cell_id JOIN s b ON b.chain_id = sister AND a.place = b.place WHERE a.place < least(a.length, b.length) - 1 GROUP BY 1) SELECT e.chain_id, e.cell_id AS leaf, CAST(length AS INT) AS length FROM s e JOIN cells USING (cell_id) LEFT JOIN q ON q.chain_id = e.chain_id WHERE place = length - 1 AND e.cell_id IN (SELECT child FROM edges) AND e.cell_id NOT IN (SELECT parent FROM edges) AND (t < 4 OR volume < 50000) AND (length < 3 OR r < -0.9)")
 query("volume_audit", "edges cells", L.volume_audit, ", s AS (SELECT parent, CAST(sum(volume) AS BIGINT) AS daughters FROM edges JOIN cells ON child = cell_id GROUP BY 1) SELECT parent, volume, daughters, round(1 - volume / daughters, 6) AS ratio, CASE WHEN 1 - volume / daughters > 0.1 THEN 'bigger' WHEN 1 - volume / daughters < -0.5 THEN 'to_look_at' WHEN 1 - volume / daughters < -0.1 THEN 'lower' ELSE 'conserved' END AS verdict FROM s JOIN cells ON parent = cell_id")
 query("fuse_targets", "edges", lambda e: L.fuse_targets(e.groupBy("child").agg(F.min("parent").alias("get")).withColumnRenamed("child", "give")), ", m AS (SELECT child AS give, min(parent) AS get FROM edges GROUP BY 1), r(give, get, steps) AS (SELECT give, get, 1 FROM m UNION ALL SELECT r.give, m.get, r.steps + 1 FROM r JOIN m ON m.give = r.get) SELECT give, arg_max(get, steps) AS get, CAST(max(steps) AS INT) AS steps FROM r GROUP BY 1")
 query("fused_volumes", "cells edges", lambda c, e: L.apply_fusion(c, e, L.sisters(e).where("cell_id > sister").toDF("give", "get"))[0], ", m AS (SELECT a.child AS give, min(b.child) AS get FROM edges a JOIN edges b USING (parent) WHERE a.child > b.child GROUP BY 1) SELECT coalesce(get, cell_id) AS cell_id, CAST(sum(volume) AS BIGINT) AS volume FROM cells LEFT JOIN m ON give = cell_id GROUP BY 1")
 query("subtree_sizes", "cells edges", lambda c, e: P.subtree_sizes(c, e), ", r(anc, cell_id) AS (SELECT cell_id, cell_id FROM cells UNION ALL SELECT r.anc, e.child FROM r JOIN edges e ON e.parent = r.cell_id) SELECT anc AS cell_id, count(*) AS n FROM r GROUP BY 1")
 query("choose_h", "vox", lambda a: L.choose_h(a.select(F.col("x").alias("cell"), (18 - 2 * F.col("z")).alias("h"), (F.col("v") % 4).alias("n")), 25), ", s AS (SELECT x AS cell, CAST(18 - 2 * z AS INT) AS h, v % 4 AS n FROM vox), g AS (SELECT cell, count(*) FILTER (n = 2) * count(*) FILTER (n >= 2) AS score, max(h) FILTER (n = 1) AS h1, max(h) FILTER (n = 2) AS h2, max(h) FILTER (n = 3) AS h3 FROM s GROUP BY 1) SELECT cell, score, CASE WHEN score >= 25 AND h2 IS NOT NULL THEN 2 WHEN h1 IS NOT NULL THEN 1 WHEN h2 IS NOT NULL THEN 2 WHEN h3 IS NOT NULL THEN 3 ELSE 0 END AS seeds, CASE WHEN score >= 25 AND h2 IS NOT NULL THEN h2 ELSE coalesce(h1, h2, h3, 0) END AS h FROM g")
 query("name_propagation", "edges cells", lambda e, c: L.name_propagation(e, P.start_names(c), e.select("child", F.col("ord").alias("rank")).limit(0)).select("cell_id", "name"), ", n AS (SELECT parent, count(*) AS k FROM edges GROUP BY 1), r(cell_id, a, gen, num) AS (SELECT cell_id, CASE WHEN cust % 2 = 0 THEN 'a' ELSE 'b' END, 7, CAST(cust % 16 + 1 AS INT) FROM cells WHERE cell_id IN (SELECT parent FROM edges) AND cell_id NOT IN (SELECT child FROM edges) UNION ALL SELECT e.child, r.a, CASE WHEN n.k > 1 THEN gen + 1 ELSE gen END, CASE WHEN n.k > 1 THEN 2 * num - 2 + e.ord ELSE num END FROM r JOIN edges e ON e.parent = r.cell_id JOIN n ON n.parent = r.cell_id) SELECT cell_id, a || gen || '.' || lpad(CAST(num AS VARCHAR), 4, '0') || '*' AS name FROM r")
-query("fate_map", "edges cells", lambda e, c: L.fate_map(e, P.start_names(c)), None)
+_names = lambda e, c: L.name_propagation(e, P.start_names(c), e.select("child", F.col("ord").alias("rank")).limit(0))
+
+
+def _fates(table: dict) -> str:
+    rows = ", ".join(f"('{n}', '{f}')" for f, (names, _) in table.items() for n in names)
+    short = lambda a, gen, num: f"{a} || {gen} || '.' || lpad(CAST({num} AS VARCHAR), 4, '0')"
+    gen, num = "CASE WHEN n.k > 1 THEN gen + 1 ELSE gen END", "CASE WHEN n.k > 1 THEN 2 * num - 2 + e.ord ELSE num END"
+    return (
+        f", n AS (SELECT parent, count(*) AS k FROM edges GROUP BY 1), f(short, fate) AS (VALUES {rows}), s AS (SELECT cell_id, CASE WHEN cust % 2 = 0 THEN 'a' ELSE 'b' END AS a, 7 AS gen, CAST(cust % 16 + 1 AS INT) AS num FROM cells WHERE cell_id IN (SELECT parent FROM edges) AND cell_id NOT IN (SELECT child FROM edges)), "
+        f"r(cell_id, a, gen, num, fate) AS (SELECT cell_id, a, gen, num, fate FROM s LEFT JOIN f ON short = {short('a', 'gen', 'num')} UNION ALL SELECT e.child, r.a, {gen}, {num}, coalesce(r.fate, f.fate) FROM r JOIN edges e ON e.parent = r.cell_id JOIN n ON n.parent = r.cell_id LEFT JOIN f ON short = {short('r.a', '(' + gen + ')', '(' + num + ')')}) SELECT cell_id, fate FROM r WHERE fate IS NOT NULL"
+    )
+
+
+query("fate_map", "edges cells", lambda e, c: L.fate_map(e, _names(e, c)), _fates(L.FATES))
+query("fate_map_fine", "edges cells", lambda e, c: L.fate_map(e, _names(e, c), L.FINE_FATES), _fates(L.FINE_FATES))
+query("format_names", "edges cells", lambda e, c: _names(e, c).select("cell_id", L.pad_name(F.regexp_replace("name", r"\.0*", ".")).alias("name")), ORACLES["name_propagation"].replace("lpad(CAST(num AS VARCHAR), 4, '0')", "right('00' || num, 3)").removeprefix(ctes("edges", "cells")))
+query("times_named", "cells", lambda c: c.select("t").distinct().select("t", L.times_named(F.lit("d_t$A_t$B.inr"), "$A", F.col("t"), "$B", F.col("t") + 1).alias("name")), "SELECT DISTINCT t, 'd_t' || right('00' || t, 3) || '_t' || right('00' || (t + 1), 3) || '.inr' AS name FROM cells")
 query("tlp_rows", "edges cells", L.tlp_rows, """SELECT 1 AS part, cell_id, CAST(0 AS BIGINT) AS other, '(nodes ' || cell_id || ')' AS line FROM cells UNION ALL SELECT 2, parent, child, '(edge ' || parent || ' ' || child || ')' FROM edges UNION ALL SELECT 3, cell_id, 0, '(node ' || cell_id || ' "' || cell_id || '")' FROM cells""")
 query("time_named", "cells", lambda c: c.select("t").distinct().select("t", L.time_named(F.lit("Fused_t$TIME.inr"), F.col("t")).alias("name")), "SELECT DISTINCT t, 'Fused_t' || right('00' || t, 3) || '.inr' AS name FROM cells")
 
 # --- components, reconstruction, kernels
+_index = "x + (y << 21) + (CAST(z AS BIGINT) << 42)"
+
+
+def _components(fg: str, steps: str) -> str:
+    """CTE cc (x, y, z, root): the smallest index of each foreground voxel's component; rounds hand smaller roots to neighbours."""
+    return f"fg AS ({fg}), cc(x, y, z, root) USING KEY (x, y, z) AS (SELECT x, y, z, {_index} FROM fg UNION SELECT q.x, q.y, q.z, min(p.root) FROM cc p, {steps} JOIN recurring.cc q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.root < q.root GROUP BY 1, 2, 3)"
+
+
 _one = lambda a: a.withColumn("image_id", F.lit(0))
-query("connected_components_6", "vox", lambda a: T.connected_components(a.where("v >= 40"), 6, 16), None)
-query("connected_components_26", "vox", lambda a: T.connected_components(a.where("v >= 49"), 26, 16), None)
-query("largest_components", "vox", lambda a: T.component_sizes(T.connected_components(a.where("v >= 49"), 26, 16), 2, 10), None)
-query("hysteresis", "vox", lambda a: T.hysteresis(a, 49, 50, 26), None)
+query("connected_components_6", "vox", lambda a: T.connected_components(a.where("v >= 40"), 6, 16), f", {_components('SELECT x, y, z FROM vox WHERE v >= 40', N6)} SELECT x, y, z, root AS component FROM cc")
+query("connected_components_26", "vox", lambda a: T.connected_components(a.where("v >= 49"), 26, 16), f", {_components('SELECT x, y, z FROM vox WHERE v >= 49', _n26)} SELECT x, y, z, root AS component FROM cc")
+query("largest_components", "vox", lambda a: T.component_sizes(T.connected_components(a.where("v >= 49"), 26, 16), 2, 10), f", {_components('SELECT x, y, z FROM vox WHERE v >= 49', _n26)} SELECT root AS component, count(*) AS n FROM cc GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, component LIMIT 10")
+query("hysteresis", "vox", lambda a: T.hysteresis(a, 49, 50, 26), f", {_components('SELECT x, y, z FROM vox WHERE v >= 49', _n26)} SELECT x, y, z, root AS component FROM cc WHERE root IN (SELECT root FROM cc JOIN vox USING (x, y, z) WHERE v >= 50)")
 query("h_maxima", "vox", lambda a: T.per_image(_one(a), lambda b: K.h_maxima(b.astype(int), 4), "image_id", out="v int").drop("image_id"), None)
 query("h_minima", "vox", lambda a: T.per_image(_one(a), lambda b: K.h_minima(b.astype(int), 4), "image_id", out="v int").drop("image_id"), None)
-query("chamfer_distance", "vox", lambda a: T.per_image(_one(a), lambda b: np.round(K.chamfer(b >= 50), 6), "image_id").drop("image_id"), None)
+query("chamfer_distance", "vox", lambda a: T.per_image(_one(a), lambda b: np.round(K.chamfer(b >= 50), 6), "image_id").drop("image_id"), f", cc(x, y, z, d) USING KEY (x, y, z) AS (SELECT x, y, z, CASE WHEN v >= 50 THEN 0.0::DOUBLE ELSE 1e9 END FROM vox UNION SELECT q.x, q.y, q.z, min(p.d + sqrt(dx * dx + dy * dy + dz * dz)) FROM cc p, {_n26} JOIN recurring.cc q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.d < 1e9 AND p.d + sqrt(dx * dx + dy * dy + dz * dz) < q.d - 1e-9 GROUP BY 1, 2, 3) SELECT x, y, z, round(d, 6) AS v FROM cc")
 query("influence_zones", "lab", lambda a: T.per_image(_one(a.withColumn("v", F.when(F.col("label") == 1, 0).otherwise(F.col("label")))), K.skiz, "image_id", out="v int").drop("image_id"), None)
 query("watershed", "lab", lambda a: P.watershed_query(a), None)
 query("gaussian_filter", "vox", lambda a: T.gaussian(a, 1.0, 16), None)
@@ -181,18 +205,20 @@ QUERIES["inr_round_trip"] = lambda spark, d: P.inr_round_trip(view(spark, d, "vo
 ORACLES["inr_round_trip"] = f"{ctes('vox')} SELECT x, y, z, CAST(v AS DOUBLE) AS v FROM vox"
 QUERIES["rotation_matrix"] = lambda spark, d: spark.createDataFrame([(a, i, j, round(float(M.rotation(a, 90)[i, j]), 9) + 0.0) for a in "XYZ" for i in range(4) for j in range(4)], "axis string, i int, j int, v double")
 
+ORACLES["rotation_matrix"] = "SELECT axis, i, j, CAST(CASE WHEN i = 3 OR j = 3 OR i = k OR j = k THEN CAST(i = j AS INT) WHEN i = j THEN 0 WHEN (k + 1) % 3 = i THEN -1 ELSE 1 END AS DOUBLE) AS v FROM (VALUES ('X', 0), ('Y', 1), ('Z', 2)) a(axis, k), (SELECT CAST(i AS INT) AS i FROM range(4) r(i)), (SELECT CAST(j AS INT) AS j FROM range(4) r(j))"
+
 # --- stacks, daughters, contacts, fields
 _two = lambda a: a.unionByName(_other(a)).unionByName(V.flip(a, "y", 32))
 _tsql = "(SELECT x, y, z, v FROM vox UNION ALL SELECT 31 - x, y, z, v FROM vox UNION ALL SELECT x, 31 - y, z, v FROM vox)"
 query("stack_median", "vox", lambda a: S.stack_filter(_two(a)), f"SELECT x, y, z, round(quantile_cont(v, 0.5), 6) AS v FROM {_tsql} GROUP BY 1, 2, 3")
 query("stack_robust_mean", "vox", lambda a: S.robust_mean(_two(a), 0.34), f"SELECT x, y, z, round(CASE WHEN count(*) = 3 THEN list_sort(list(v))[2] ELSE avg(v) END, 6) AS v FROM {_tsql} GROUP BY 1, 2, 3")
 query("zero_crossings", "vox", lambda a: S.zero_crossings(a.withColumn("v", F.col("v") - 25)), f"SELECT DISTINCT p.x, p.y, p.z FROM vox p, {N6} JOIN vox q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.v > 25 AND q.v <= 25")
-query("components_4d", "vox", lambda a: S.components_4d(a.where("v >= 49").withColumn("t", F.lit(0)).unionByName(_other(a).where("v >= 49").withColumn("t", F.lit(1))), 6), None)
-query("components_with_seeds", "vox", lambda a: S.with_seeds(T.connected_components(a.where("v >= 49"), 6, 16), a.where("v = 50 AND x < 8")), None)
+query("components_4d", "vox", lambda a: S.components_4d(a.where("v >= 49").withColumn("t", F.lit(0)).unionByName(_other(a).where("v >= 49").withColumn("t", F.lit(1))), 6), ", fg AS (SELECT 0 AS t, x, y, z FROM vox WHERE v >= 49 UNION ALL SELECT 1, 31 - x, y, z FROM vox WHERE v >= 49), cc(t, x, y, z, root) USING KEY (t, x, y, z) AS (SELECT t, x, y, z, x + (y << 16) + (CAST(z AS BIGINT) << 32) + (CAST(t AS BIGINT) << 48) FROM fg UNION SELECT q.t, q.x, q.y, q.z, min(p.root) FROM cc p, (VALUES (0,1,0,0),(0,-1,0,0),(0,0,1,0),(0,0,-1,0),(0,0,0,1),(0,0,0,-1),(1,0,0,0),(-1,0,0,0)) o(dt,dx,dy,dz) JOIN recurring.cc q ON q.t = p.t + dt AND q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.root < q.root GROUP BY 1, 2, 3, 4) SELECT t, x, y, z, root AS component FROM cc")
+query("components_with_seeds", "vox", lambda a: S.with_seeds(T.connected_components(a.where("v >= 49"), 6, 16), a.where("v = 50 AND x < 8")), f", {_components('SELECT x, y, z FROM vox WHERE v >= 49', N6)} SELECT x, y, z, root AS component FROM cc WHERE root IN (SELECT root FROM cc JOIN vox USING (x, y, z) WHERE v = 50 AND x < 8)")
 query("new_labels", "lab", lambda a: S.new_labels(a.groupBy("label").agg((F.count("*") % 3).alias("n")).withColumnRenamed("label", "cell")), ", c AS (SELECT label AS cell, count(*) % 3 AS n FROM lab GROUP BY 1) SELECT cell, CAST(2 + coalesce(sum(n) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS label, n FROM c")
 query("parcels", "vox", lambda a: S.parcels(a.where("v > 5"), [(4, 4, 2), (20, 8, 3), (10, 28, 5), (28, 28, 4)]), None)
 query("daughters_by_distance", "lab", lambda a: S.by_distance(a.where("label > 1").select((F.expr("label div 2")).alias("parent"), "label").distinct(), S.centroids(a), (0, 0, 0)), ", c AS (SELECT label, label // 2 AS parent, round(sqrt(pow(round(avg(x), 6), 2) + pow(round(avg(y), 6), 2) + pow(round(avg(z), 6), 2)), 6) AS d FROM lab WHERE label > 1 GROUP BY 1) SELECT CAST(parent AS BIGINT) AS parent, label, CAST(row_number() OVER (PARTITION BY parent ORDER BY d, label DESC) AS INT) AS rank, round(max(d) OVER (PARTITION BY parent) - min(d) OVER (PARTITION BY parent), 6) AS gap FROM c")
-query("fusion_targets_by_contact", "lab", lambda a: S.fusion_target(a, a.where("label > 3").select(F.col("label").alias("give"), (F.col("label") - 1).alias("get")).distinct().unionByName(a.where("label > 5").select(F.col("label").alias("give"), (F.col("label") - 4).alias("get")).distinct())), None)
+query("fusion_targets_by_contact", "lab", lambda a: S.fusion_target(a, a.where("label > 3").select(F.col("label").alias("give"), (F.col("label") - 1).alias("get")).distinct().unionByName(a.where("label > 5").select(F.col("label").alias("give"), (F.col("label") - 4).alias("get")).distinct())), f", o AS (SELECT * FROM {_n26} WHERE (dx, dy, dz) > (0, 0, 0)), adj AS (SELECT least(p.label, q.label) AS a, greatest(p.label, q.label) AS b, count(*) AS n FROM lab p, o JOIN lab q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.label <> q.label GROUP BY 1, 2), c AS (SELECT DISTINCT label AS give, label - 1 AS get FROM lab WHERE label > 3 UNION SELECT label, label - 4 FROM lab WHERE label > 5) SELECT give, get, coalesce(n, 0) AS n FROM c LEFT JOIN adj ON a = least(give, get) AND b = greatest(give, get) QUALIFY row_number() OVER (PARTITION BY give ORDER BY coalesce(n, 0) DESC, get) = 1")
 query("exterior_correction", "lab", lambda a: S.exterior_correction(a, a.where("label % 2 = 0").select("label").distinct(), 1), f", fg AS (SELECT x, y, z, CASE WHEN label <> 1 THEN 1 ELSE 0 END AS v FROM lab), e AS ({_spread('fg', 'min(q.v)')}), o AS ({_spread('e', 'max(q.v)')}) SELECT x, y, z, CASE WHEN label % 2 = 0 AND o.v = 0 THEN 1 ELSE label END AS label FROM lab JOIN o USING (x, y, z)")
 query("lost_to", "lab lab2", lambda a, b: S.lost_to(a, b, a.select(F.col("label").alias("mother"), F.col("label").alias("child")).distinct()), ", m AS (SELECT a.label AS mother, b.label AS label, count(*) AS n FROM lab a JOIN lab2 b USING (x, y, z) WHERE a.label <> b.label GROUP BY 1, 2) SELECT mother, label, n FROM m QUALIFY row_number() OVER (PARTITION BY mother ORDER BY n DESC, label) = 1")
 query("match_volume", "vox", lambda a: S.match_volume(a, 2000), ", h AS (SELECT v, sum(count(*)) OVER (ORDER BY v DESC) AS above FROM vox GROUP BY v) SELECT max(v) AS threshold FROM h WHERE above >= 2000")
