@@ -166,26 +166,50 @@ def _components(fg: str, steps: str) -> str:
 
 
 _one = lambda a: a.withColumn("image_id", F.lit(0))
+_grid = "grid AS (SELECT CAST(a.i AS BIGINT) AS x, CAST(b.i AS BIGINT) AS y, CAST(c.i AS INT) AS z, coalesce(v, 0) AS v FROM range((SELECT min(x) FROM vox), (SELECT max(x) + 1 FROM vox)) a(i), range((SELECT min(y) FROM vox), (SELECT max(y) + 1 FROM vox)) b(i), range(CAST((SELECT min(z) FROM vox) AS BIGINT), CAST((SELECT max(z) + 1 FROM vox) AS BIGINT)) c(i) LEFT JOIN vox ON x = a.i AND y = b.i AND z = c.i)"
+
+
+def _convolved(orders: tuple[int, int, int], name: str, sigma: float = 1.0) -> str:
+    """CTEs of the grid convolved along x, y and z with gaussian derivatives; borders repeat the edge."""
+    out, src = [], "grid"
+    for axis, order in zip(XYZ, orders, strict=True):
+        w = K.gaussian_weights(sigma, order)
+        rows = ", ".join(f"({k - len(w) // 2}, {x!r}::DOUBLE)" for k, x in enumerate(w[::-1].tolist()))
+        at = " AND ".join(f"q.{a} = " + (f"least(greatest(p.{a} + o, (SELECT min({a}) FROM grid)), (SELECT max({a}) FROM grid))" if a == axis else f"p.{a}") for a in XYZ)
+        out.append(f"{name}{axis} AS (SELECT p.x, p.y, p.z, sum(w * q.v) AS v FROM {src} p, (VALUES {rows}) k(o, w) JOIN {src} q ON {at} GROUP BY 1, 2, 3)")
+        src = f"{name}{axis}"
+    return ", ".join(out)
+
+
+def _derived(order: int, value: str) -> str:
+    axes = [tuple(order * (k == a) for k in range(3)) for a in range(3)]
+    return f", {_grid}, {', '.join(_convolved(o, n) for o, n in zip(axes, ('ga', 'gb', 'gc'), strict=True))} SELECT x, y, z, round({value}, 6) AS v FROM gaz JOIN gbz USING (x, y, z) JOIN gcz USING (x, y, z) JOIN vox USING (x, y, z)"
+
+
+def _reconstructed(img: str) -> str:
+    return f", {_grid}, img AS (SELECT x, y, z, {img} AS v FROM grid), r(x, y, z, v, j) USING KEY (x, y, z) AS (SELECT x, y, z, v, greatest(0, v - 4) FROM img UNION SELECT q.x, q.y, q.z, q.v, least(q.v, max(p.j)) FROM r p, {_n26} JOIN recurring.r q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE least(q.v, p.j) > q.j GROUP BY 1, 2, 3, 4) SELECT x, y, z, CAST(r.v - r.j AS INT) AS v FROM r JOIN vox USING (x, y, z)"
+
+
 query("connected_components_6", "vox", lambda a: T.connected_components(a.where("v >= 40"), 6, 16), f", {_components('SELECT x, y, z FROM vox WHERE v >= 40', N6)} SELECT x, y, z, root AS component FROM cc")
 query("connected_components_26", "vox", lambda a: T.connected_components(a.where("v >= 49"), 26, 16), f", {_components('SELECT x, y, z FROM vox WHERE v >= 49', _n26)} SELECT x, y, z, root AS component FROM cc")
 query("largest_components", "vox", lambda a: T.component_sizes(T.connected_components(a.where("v >= 49"), 26, 16), 2, 10), f", {_components('SELECT x, y, z FROM vox WHERE v >= 49', _n26)} SELECT root AS component, count(*) AS n FROM cc GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, component LIMIT 10")
 query("hysteresis", "vox", lambda a: T.hysteresis(a, 49, 50, 26), f", {_components('SELECT x, y, z FROM vox WHERE v >= 49', _n26)} SELECT x, y, z, root AS component FROM cc WHERE root IN (SELECT root FROM cc JOIN vox USING (x, y, z) WHERE v >= 50)")
-query("h_maxima", "vox", lambda a: T.per_image(_one(a), lambda b: K.h_maxima(b.astype(int), 4), "image_id", out="v int").drop("image_id"), None)
-query("h_minima", "vox", lambda a: T.per_image(_one(a), lambda b: K.h_minima(b.astype(int), 4), "image_id", out="v int").drop("image_id"), None)
+query("h_maxima", "vox", lambda a: T.per_image(_one(a), lambda b: K.h_maxima(b.astype(int), 4), "image_id", out="v int").drop("image_id"), _reconstructed("v"))
+query("h_minima", "vox", lambda a: T.per_image(_one(a), lambda b: K.h_minima(b.astype(int), 4), "image_id", out="v int").drop("image_id"), _reconstructed("(SELECT max(v) FROM grid) - v"))
 query("chamfer_distance", "vox", lambda a: T.per_image(_one(a), lambda b: np.round(K.chamfer(b >= 50), 6), "image_id").drop("image_id"), f", cc(x, y, z, d) USING KEY (x, y, z) AS (SELECT x, y, z, CASE WHEN v >= 50 THEN 0.0::DOUBLE ELSE 1e9 END FROM vox UNION SELECT q.x, q.y, q.z, min(p.d + sqrt(dx * dx + dy * dy + dz * dz)) FROM cc p, {_n26} JOIN recurring.cc q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.d < 1e9 AND p.d + sqrt(dx * dx + dy * dy + dz * dz) < q.d - 1e-9 GROUP BY 1, 2, 3) SELECT x, y, z, round(d, 6) AS v FROM cc")
-query("influence_zones", "lab", lambda a: T.per_image(_one(a.withColumn("v", F.when(F.col("label") == 1, 0).otherwise(F.col("label")))), K.skiz, "image_id", out="v int").drop("image_id"), None)
+query("influence_zones", "lab", lambda a: T.per_image(_one(a.withColumn("v", F.when(F.col("label") == 1, 0).otherwise(F.col("label")))), K.skiz, "image_id", out="v int").drop("image_id"), f", vox2 AS (SELECT x, y, z, CASE WHEN label = 1 THEN 0 ELSE label END AS v FROM lab), {_grid.replace('FROM vox', 'FROM vox2').replace('JOIN vox ', 'JOIN vox2 ')}, s(x, y, z, m) USING KEY (x, y, z) AS (SELECT x, y, z, CASE WHEN v > 0 THEN {{'d': 0.0::DOUBLE, 'l': v}} ELSE {{'d': 1e18::DOUBLE, 'l': 0}} END FROM grid UNION SELECT q.x, q.y, q.z, min({{'d': round(p.m.d + sqrt(dx * dx + dy * dy + dz * dz), 9), 'l': p.m.l}}) FROM s p, {_n26} JOIN recurring.s q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.m.d < 1e18 AND {{'d': round(p.m.d + sqrt(dx * dx + dy * dy + dz * dz), 9), 'l': p.m.l}} < q.m GROUP BY 1, 2, 3) SELECT x, y, z, CAST(s.m.l AS INT) AS v FROM s JOIN vox2 USING (x, y, z)")
 query("watershed", "lab", lambda a: P.watershed_query(a), None)
-query("gaussian_filter", "vox", lambda a: T.gaussian(a, 1.0, 16), None)
-query("gradient_modulus", "vox", lambda a: T.per_tile(a, lambda b: np.round(K.gradient_modulus(b, 1.0), 6), 16, 5), None)
-query("laplacian", "vox", lambda a: T.per_tile(a, lambda b: np.round(K.laplacian(b, 1.0), 6), 16, 5), None)
-query("fill_holes", "vox", lambda a: T.per_image(_one(a), lambda b: K.fill_holes(b >= 12).astype(int), "image_id", out="v int").drop("image_id"), None)
+query("gaussian_filter", "vox", lambda a: T.gaussian(a, 1.0, 16), f", {_grid}, {_convolved((0, 0, 0), 'a')} SELECT x, y, z, round(az.v, 6) AS v FROM az JOIN vox USING (x, y, z)")
+query("gradient_modulus", "vox", lambda a: T.per_tile(a, lambda b: np.round(K.gradient_modulus(b, 1.0), 6), 16, 5), _derived(1, "sqrt(gaz.v * gaz.v + gbz.v * gbz.v + gcz.v * gcz.v)"))
+query("laplacian", "vox", lambda a: T.per_tile(a, lambda b: np.round(K.laplacian(b, 1.0), 6), 16, 5), _derived(2, "gaz.v + gbz.v + gcz.v"))
+query("fill_holes", "vox", lambda a: T.per_image(_one(a), lambda b: K.fill_holes(b >= 12).astype(int), "image_id", out="v int").drop("image_id"), f", {_grid}, bg AS (SELECT x, y, z FROM grid WHERE v < 12), o(x, y, z) AS (SELECT x, y, z FROM bg WHERE " + " OR ".join(f"{a} IN ((SELECT min({a}) FROM grid), (SELECT max({a}) FROM grid))" for a in XYZ) + f" UNION SELECT q.x, q.y, q.z FROM o AS p, {N6.replace('o(', 'k(')} JOIN bg q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz) SELECT x, y, z, CAST((x, y, z) NOT IN (SELECT (x, y, z) FROM o) AS INT) AS v FROM vox")
 query("thinning", "vox", lambda a: T.per_image(_one(a), lambda b: K.thin(b >= 12).astype(int), "image_id", out="v int").drop("image_id"), None)
 query("geodesic_snake", "vox", lambda a: T.per_image(_one(a), lambda b: K.geodesic_snake(b >= 45, K.edge_stop(b), 10, 1), "image_id", out="v int").drop("image_id"), None)
 query("region_snake", "vox", lambda a: T.per_image(_one(a), lambda b: K.region_snake(b >= 45, b.astype(float), 5), "image_id", out="v int").drop("image_id"), None)
 
 # --- registration
 query("block_attributes", "vox", R.block_attributes, "SELECT CAST(floor(x / 4) AS BIGINT) AS bx, CAST(floor(y / 4) AS BIGINT) AS by, CAST(floor(z / 4) AS BIGINT) AS bz, count(*) AS n, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance FROM vox GROUP BY 1, 2, 3")
-query("block_pairs", "vox", lambda a: R.pair_blocks(a, a.withColumn("x", F.col("x") + 1), 4, 1), None)
+query("block_pairs", "vox", lambda a: R.pair_blocks(a, a.withColumn("x", F.col("x") + 1), 4, 1), ", m AS (SELECT x // 4 AS bx, y // 4 AS b2, z // 4 AS bz, x + i.d AS x, y + j.d AS y, z + k.d AS z, v AS a, i.d AS dx, j.d AS dy, k.d AS dz FROM vox, (VALUES (-1), (0), (1)) i(d), (VALUES (-1), (0), (1)) j(d), (VALUES (-1), (0), (1)) k(d)), s AS (SELECT bx, b2, bz, dx, dy, dz, count(*) AS n, CAST(sum(a) AS BIGINT) AS sa, CAST(sum(b.v) AS BIGINT) AS sb, CAST(sum(a * a) AS BIGINT) AS saa, CAST(sum(b.v * b.v) AS BIGINT) AS sbb, CAST(sum(a * b.v) AS BIGINT) AS sab FROM m JOIN (SELECT x + 1 AS x, y, z, v FROM vox) b USING (x, y, z) GROUP BY ALL), c AS (SELECT *, CASE WHEN n * saa > sa * sa AND n * sbb > sb * sb THEN round((n * sab - sa * sb) * (n * sab - sa * sb) / (CAST(n * saa - sa * sa AS DOUBLE) * (n * sbb - sb * sb)), 6) ELSE 0.0 END AS score FROM s WHERE n * 2 >= 32) SELECT bx, b2 AS by, CAST(bz AS BIGINT) AS bz, dx, dy, dz, score FROM c QUALIFY row_number() OVER (PARTITION BY bx, b2, bz ORDER BY score DESC, dx * dx + dy * dy + dz * dz, dx, dy, dz) = 1")
 query("block_match", "vox", lambda a: P.match_query(a), None)
 
 # --- detections and tracks
