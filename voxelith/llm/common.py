@@ -28,12 +28,44 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders that this process has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes a table into the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN[spark.sparkContext.applicationId].remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """The folders of the tables that this application has written and not deleted."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release(paths: list[str], kept: DataFrame) -> None:
+    """Deletes the written tables at ``paths``, but for those that ``kept`` reads."""
+    read = {part for f in kept.inputFiles() for part in f.split("/")} if paths else set()
+    for path in set(paths) & set(written(kept.sparkSession)):
+        if path.rsplit("/", 1)[1] not in read:
+            _delete(kept.sparkSession, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
