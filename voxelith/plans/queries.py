@@ -196,7 +196,7 @@ query("largest_components", "vox", lambda a: T.component_sizes(T.connected_compo
 query("hysteresis", "vox", lambda a: T.hysteresis(a, 49, 50, 26), f", {_components('SELECT x, y, z FROM vox WHERE v >= 49', _n26)} SELECT x, y, z, root AS component FROM cc WHERE root IN (SELECT root FROM cc JOIN vox USING (x, y, z) WHERE v >= 50)")
 query("h_maxima", "vox", lambda a: T.per_image(_one(a), lambda b: K.h_maxima(b.astype(int), 4), "image_id", out="v int").drop("image_id"), _reconstructed("v"))
 query("h_minima", "vox", lambda a: T.per_image(_one(a), lambda b: K.h_minima(b.astype(int), 4), "image_id", out="v int").drop("image_id"), _reconstructed("(SELECT max(v) FROM grid) - v"))
-query("chamfer_distance", "vox", lambda a: T.per_image(_one(a), lambda b: np.round(K.chamfer(b >= 50), 6), "image_id").drop("image_id"), f", cc(x, y, z, d) USING KEY (x, y, z) AS (SELECT x, y, z, CASE WHEN v >= 50 THEN 0.0::DOUBLE ELSE 1e9 END FROM vox UNION SELECT q.x, q.y, q.z, min(p.d + sqrt(dx * dx + dy * dy + dz * dz)) FROM cc p, {_n26} JOIN recurring.cc q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.d < 1e9 AND p.d + sqrt(dx * dx + dy * dy + dz * dz) < q.d - 1e-9 GROUP BY 1, 2, 3) SELECT x, y, z, round(d, 6) AS v FROM cc")
+query("chamfer_distance", "vox", lambda a: T.per_image(_one(a), lambda b: np.round(K.chamfer(b >= 50), 6), "image_id").drop("image_id"), f", {_grid}, cc(x, y, z, d) USING KEY (x, y, z) AS (SELECT x, y, z, CASE WHEN v >= 50 THEN 0.0::DOUBLE ELSE 1e9 END FROM grid UNION SELECT q.x, q.y, q.z, min(p.d + sqrt(dx * dx + dy * dy + dz * dz)) FROM cc p, {_n26} JOIN recurring.cc q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.d < 1e9 AND p.d + sqrt(dx * dx + dy * dy + dz * dz) < q.d - 1e-9 GROUP BY 1, 2, 3) SELECT x, y, z, round(cc.d, 6) AS v FROM cc JOIN vox USING (x, y, z)")
 query("influence_zones", "lab", lambda a: T.per_image(_one(a.withColumn("v", F.when(F.col("label") == 1, 0).otherwise(F.col("label")))), K.skiz, "image_id", out="v int").drop("image_id"), f", vox2 AS (SELECT x, y, z, CASE WHEN label = 1 THEN 0 ELSE label END AS v FROM lab), {_grid.replace('FROM vox', 'FROM vox2').replace('JOIN vox ', 'JOIN vox2 ')}, s(x, y, z, m) USING KEY (x, y, z) AS (SELECT x, y, z, CASE WHEN v > 0 THEN {{'d': 0.0::DOUBLE, 'l': v}} ELSE {{'d': 1e18::DOUBLE, 'l': 0}} END FROM grid UNION SELECT q.x, q.y, q.z, min({{'d': round(p.m.d + sqrt(dx * dx + dy * dy + dz * dz), 9), 'l': p.m.l}}) FROM s p, {_n26} JOIN recurring.s q ON q.x = p.x + dx AND q.y = p.y + dy AND q.z = p.z + dz WHERE p.m.d < 1e18 AND {{'d': round(p.m.d + sqrt(dx * dx + dy * dy + dz * dz), 9), 'l': p.m.l}} < q.m GROUP BY 1, 2, 3) SELECT x, y, z, CAST(s.m.l AS INT) AS v FROM s JOIN vox2 USING (x, y, z)")
 query("watershed", "lab", lambda a: P.watershed_query(a), None)
 query("gaussian_filter", "vox", lambda a: T.gaussian(a, 1.0, 16), f", {_grid}, {_convolved((0, 0, 0), 'a')} SELECT x, y, z, round(az.v, 6) AS v FROM az JOIN vox USING (x, y, z)")
