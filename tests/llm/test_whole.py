@@ -55,6 +55,21 @@ def test_near_dedup_reaches_the_threshold(spark):
     assert 20 < len(want) < len(texts)
 
 
+def test_sketches_never_differ_in_more_than_the_sets():
+    from voxelith.llm import neardup
+
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 40, 300, 3000, 40_000):
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        for other in (0, size // 7, 9 * size):
+            b = np.unique(np.concatenate([a[size // 9 :], rng.integers(0, 2**64, other, dtype=np.uint64)]))
+            x, y = neardup.sketch(a).tobytes(), neardup.sketch(b).tobytes()
+            assert neardup.apart(x, y) == neardup.apart(y, x) <= len(np.setxor1d(a, b))
+        assert neardup.apart(x, x) == 0
+    far = [neardup.sketch(np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))).tobytes() for _ in range(2)]
+    assert 9 * neardup.apart(*far) > 6000  # unrelated large sets are told apart
+
+
 def test_near_dedup_keeps_null_and_repeated_ids(spark):
     import corpus_pipeline as P
 
