@@ -55,6 +55,25 @@ def test_near_dedup_reaches_the_threshold(spark):
     assert 20 < len(want) < len(texts)
 
 
+def test_one_index_serves_any_benchmark(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"t{k}" for k in rng.integers(0, 40, int(rng.integers(0, 60)))) for _ in range(40)] + [None, "", "Caf\u00e9 \u00a0NA\u00cfVE x-Y\u20039 " * 6]
+    docs = spark.createDataFrame([(k % 30, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert all([w.decode() for w in decontam.raw_words(t.encode())] == decontam.words(t) for t in texts if t)
+    index = decontam.materialise(decontam.build_index(docs, shard_words=200), "index")
+    assert sum(r.n for r in decontam.term_counts(index, spark.sparkContext.broadcast(sorted({w for t in texts for w in decontam.words(t)}))).collect()) == sum(len(decontam.words(t)) for t in texts)
+    for own in (texts[:3], texts[20:24] + texts[-1:]):
+        bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(own)], "item_id string, text string")
+        items = [(f"i{k}", w) for k, t in enumerate(own) for w in set(decontam.windows(t))]
+        want = Counter()
+        for k, t in enumerate(texts):
+            w = decontam.words(t)
+            hits = [(i, a, a + len(g)) for i, g in items for a in range(len(w) - len(g) + 1) if tuple(w[a : a + len(g)]) == g]
+            want[k % 30, len(w), len({p for _, a, b in hits for p in range(a, b)}), tuple(sorted({i for i, _, _ in hits}))] += 1
+        for block in (3, 1000):
+            assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.match(index, bench, 10, block=block).collect()) == want
+
+
 def test_sketches_never_differ_in_more_than_the_sets():
     from voxelith.llm import neardup
 
