@@ -81,6 +81,22 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def lean(fn: Callable) -> Callable:
+    """A function over Arrow batches that gives freed memory back to the system when it ends: workers are used again by later stages."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """mapInArrow over whole record batches."""
     return df.mapInArrow(fn, schema)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -83,7 +83,7 @@ def build_index(docs: DataFrame, shard_words: int = 1_000_000) -> DataFrame:
         if ids:
             yield shard()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, SHARD).withColumn("shard", F.monotonically_increasing_id())
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(build), SHARD).withColumn("shard", F.monotonically_increasing_id())
 
 
 def term_counts(index: DataFrame, terms) -> DataFrame:
@@ -99,7 +99,7 @@ def term_counts(index: DataFrame, terms) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([asked.take(pa.array(some)), pa.array(total[some])], ["term", "n"])
 
-    return index.select("terms", "counts").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return index.select("terms", "counts").mapInArrow(lean(count), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class Lists(Mapping):
@@ -220,7 +220,7 @@ def search(index: DataFrame, phrases, slop: int | None = None) -> DataFrame:
                         schema=_HIT,
                     )
 
-    return index.mapInArrow(find, HIT)
+    return index.mapInArrow(lean(find), HIT)
 
 
 def match(index: DataFrame, benchmark: DataFrame, n: int = 10, slop: int | None = None, block: int = BLOCK) -> DataFrame:

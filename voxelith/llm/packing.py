@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 LENGTH, SEGMENTS, END = 2048, 256, 1
 POOL = 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -183,7 +185,7 @@ def pack(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int]
         if packer.rows:
             yield _batch(packer.rows)
 
-    return chosen.mapInArrow(run, PIECE)
+    return chosen.mapInArrow(lean(run), PIECE)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

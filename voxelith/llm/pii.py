@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 from .words import portions, split_words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -191,7 +191,7 @@ def entities(docs: DataFrame) -> DataFrame:
                 names = [sorted({f"{k}:{t[a:b].translate(_UPPER)}" for k, a, b in s} | {k for k, *_ in s}) for t, s in zip(texts, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.list_(pa.string())), pa.array([terms_of(t, s) for t, s in zip(texts, found, strict=True)], pa.list_(pa.string())), *(pa.array(keys[:, k]) for k in range(3))], ["entities", "terms", "k0", "k1", "k2"])
 
-    return docs.select("text").mapInArrow(run, FOUND)
+    return docs.select("text").mapInArrow(lean(run), FOUND)
 
 
 def count_terms(docs: DataFrame, wanted) -> DataFrame:
@@ -212,7 +212,7 @@ def count_terms(docs: DataFrame, wanted) -> DataFrame:
                 pairs = np.unique(np.repeat(np.arange(part.num_rows), np.diff(bounds))[hit] * len(place) + own[hit])
                 yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), pa.array(np.bincount(pairs % len(place), minlength=len(place)))], ["term", "n"])
 
-    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def independent(found: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def with_terms(rows: DataFrame, blocks: list[list[str]]):
                     more = [",".join(x for x in (old, new) if x) for old, new in zip(part["terms"].to_pylist(), term_spans(part["text"].to_pylist(), told), strict=True)]
                     yield pa.RecordBatch.from_arrays([part["kept"], part["text"], pa.array(more, pa.string())], ["kept", "text", "terms"])
 
-        rows = rows.mapInArrow(run, rows.schema)
+        rows = rows.mapInArrow(lean(run), rows.schema)
     return rows, spark.sparkContext.broadcast(blocks[-1] if blocks else [])
 
 
@@ -324,7 +324,7 @@ def find(docs: DataFrame, residue: float = 1.0, margin: float = 7.0) -> DataFram
                 more = [",".join(x for x in (joined(secret_spans(t)), *own) if x) for t, *own in zip(texts, part["terms"].to_pylist(), term_spans(texts, told), strict=True)]
                 yield pa.RecordBatch.from_arrays([pc.struct_field(part["kept"], "doc_id"), *counts, pa.array([joined(x) for x in spans], pa.string()), pa.array(more, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "more"])
 
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, more string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, more string")
 
 
 def replace_spans(text: str, spans: str, keep_kind: bool = True) -> str:
@@ -353,6 +353,6 @@ def sanitise(docs: DataFrame, residue: float = 1.0, margin: float = 7.0, keep_ki
                 texts = [t if t is None else replace_spans(t, ",".join([joined(base_spans(t) + secret_spans(t)), *more]), keep_kind) for t, *more in zip(texts, part["terms"].to_pylist(), term_spans(texts, told), strict=True)]
                 yield pa.RecordBatch.from_arrays([part["kept"], pa.array(texts, pa.string())], ["kept", "text"])
 
-    rows = rows.mapInArrow(swap, rows.select("kept", "text").schema)
+    rows = rows.mapInArrow(lean(swap), rows.select("kept", "text").schema)
     place = {c: k for k, c in enumerate(others)}
     return rows.select(*(F.col("text") if c == "text" else F.col(f"kept.c{place[c]}").alias(c) for c in docs.columns))
