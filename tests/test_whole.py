@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from voxelith.functions import kernels as K
+from voxelith.operators import tracks as D
 from voxelith.plans import pipeline as P
 from voxelith.plans.queries import QUERIES
 from voxelith.plans.views import view
@@ -71,3 +72,48 @@ def test_thinning_of_a_crop_by_brute_force(spark):
         return n
 
     assert not (t & ~a).any() and 0 < t.sum() < a.sum() and parts(t) == parts(a)
+
+
+def _detections(rng, n, crowd):
+    """(det_id, frame, x, y): n of them at few places, and ``crowd`` more at one place in each of two frames."""
+    rows = [(int(f), int(x), int(y)) for f, x, y in zip(rng.integers(1, 6, n), rng.integers(0, 16, n), rng.integers(-20, 20, n), strict=True)]
+    rows += [(f, 3, 30) for f in (2, 3) for _ in range(crowd)]
+    ids = rng.permutation(len(rows)).tolist()
+    return [(d, *r) for d, r in zip(ids, rows, strict=True)]
+
+
+def _pairs(rows, reach):
+    return [(a, b, (x - x2) ** 2 + (y - y2) ** 2) for a, f, x, y in rows for b, f2, x2, y2 in rows if f2 == f + 1 and (x - x2) ** 2 + (y - y2) ** 2 <= reach * reach]
+
+
+def _nearest(rows, reach):
+    best, back = {}, {}
+    for a, b, d in _pairs(rows, reach):
+        best[a] = min(best.get(a, (d, b)), (d, b))
+        back[b] = min(back.get(b, (d, a)), (d, a))
+    return {(a, b) for a, (_, b) in best.items() if back[b][1] == a}
+
+
+def _rows_joined(df):
+    """Rows that the joins of the collected query gave at most."""
+    found = 0
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if "AdaptiveSparkPlan" in p.nodeName():
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        kids = p.children()
+        todo += [kids.apply(k) for k in range(kids.size())]
+        if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+            found = max(found, p.metrics().apply("numOutputRows").value())
+    return found
+
+
+def test_links_of_crowds_make_no_pairs_of_ids(spark):
+    rows = _detections(np.random.default_rng(5), 300, 200)
+    got = D.link_nearest(spark.createDataFrame(rows, "det_id long, frame int, x long, y long"), 3)
+    found = [(r.det_id, r.other) for r in got.collect()]
+    assert len(found) == len(set(found)) > 50 and set(found) == _nearest(rows, 3)
+    assert _rows_joined(got) < 10_000  # the crowds alone have 40,000 pairs

@@ -9,6 +9,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _near_places(here: DataFrame, there: DataFrame, reach: float, depth: int) -> DataFrame:
+    """Pairs of places (frame, x, y, and what else they have) with 1 <= dt <= depth frames and distance <= reach: an equi-join on frame and square buckets of four times ``reach``. A place of ``here`` goes to the buckets that it reaches. Columns of ``there`` have a 2 at the end."""
+    side = 4 * reach
+    b = lambda c: F.floor(c / side).cast("long")
+    here = here.withColumn("dt", F.explode(F.sequence(F.lit(1), F.lit(depth)))).withColumn("_f", F.col("frame") + F.col("dt"))
+    for a in ("x", "y"):
+        # the next buckets where a bucket may be missed by rounding: the distance is tested all the same
+        here = here.withColumn(f"_b{a}", F.explode(F.sequence(b(F.col(a) - 1.001 * reach), b(F.col(a) + 1.001 * reach))))
+    there = there.select(*[F.col(c).alias(f"{c}2") for c in there.columns]).withColumns({"_f": F.col("frame2"), "_bx": b(F.col("x2")), "_by": b(F.col("y2"))})
+    d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
+    return here.join(there, ["_f", "_bx", "_by"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach).drop("_f", "_bx", "_by")
+
+
 def neighbours(det: DataFrame, reach: float, depth: int = 1) -> DataFrame:
     """Pairs (det_id, other, dt, d2) with 1 <= dt <= depth frames and distance <= reach: an equi-join on frame and square buckets of side ``reach``."""
     b = lambda c: F.floor(F.col(c) / reach).cast("long")
@@ -21,11 +34,17 @@ def neighbours(det: DataFrame, reach: float, depth: int = 1) -> DataFrame:
 
 
 def link_nearest(det: DataFrame, reach: float, depth: int = 1) -> DataFrame:
-    """Mutually nearest links: each detection's best later one (nearest in frames, then distance, then id), kept where it's also that one's best earlier one."""
-    n = neighbours(det, reach, depth)
-    best = n.groupBy("det_id").agg(F.min(F.struct("dt", "d2", "other")).alias("m")).select("det_id", F.col("m.other").alias("other"))
-    back = n.groupBy("other").agg(F.min(F.struct("dt", "d2", "det_id")).alias("m")).select("other", F.col("m.det_id").alias("det_id"))
-    return best.join(back, ["det_id", "other"]).select("det_id", "other")
+    """Mutually nearest links: each detection's best later one (nearest in frames, then distance, then id), kept where it's also that one's best earlier one. Of the detections at one place only the first id can be the best, so places are joined."""
+    place = ["frame", "x", "y"]
+    det = det.select("det_id", *place).dropna(subset=place)
+    firsts = det.groupBy(*place).agg(F.min("det_id").alias("first"))
+    n = _near_places(firsts, firsts, reach, depth)
+    # places are few, so both ways read one table of the nearest: by distance, then by id with nulls last
+    best = lambda at, other: n.groupBy(*at).agg(F.min(F.struct("dt", "d2", F.col(other).isNull().alias("none"), F.col(other).alias("id"))).alias("m"))
+    after = det.join(best(place, "first2"), place).groupBy("det_id").agg(F.min("m").alias("m")).select("det_id", F.col("m.id").alias("other"))
+    back = best([f"{c}2" for c in place], "first").toDF(*place, "m")
+    before = det.join(back, place).groupBy("det_id").agg(F.min("m").alias("m")).select(F.col("det_id").alias("other"), F.col("m.id").alias("det_id"))
+    return after.join(before, ["det_id", "other"]).select("det_id", "other")
 
 
 def chain(det: DataFrame, reach: float, depth: int = 1) -> DataFrame:
