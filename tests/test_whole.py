@@ -117,3 +117,19 @@ def test_links_of_crowds_make_no_pairs_of_ids(spark):
     found = [(r.det_id, r.other) for r in got.collect()]
     assert len(found) == len(set(found)) > 50 and set(found) == _nearest(rows, 3)
     assert _rows_joined(got) < 10_000  # the crowds alone have 40,000 pairs
+
+
+def test_tracks_of_unlinked_detections_skip_the_fixpoint(spark, monkeypatch):
+    from voxelith.operators import graph
+
+    rows = _detections(np.random.default_rng(6), 200, 200)
+    sizes, real = [], graph.fixpoint_roots
+    monkeypatch.setattr(graph, "fixpoint_roots", lambda nodes, *a: sizes.append(nodes.count()) or real(nodes, *a))
+    got = {r.det_id: (r.track_id, r.seq) for r in D.chain(spark.createDataFrame(rows, "det_id long, frame int, x long, y long"), 3).collect()}
+    up = {b: a for a, b in _nearest(rows, 3)}
+    for d, *_ in rows:
+        root, n = d, 0
+        while root in up:
+            root, n = up[root], n + 1
+        assert got[d] == (root, n)
+    assert len(got) == len(rows) and sizes == [len(up)]
