@@ -133,3 +133,18 @@ def test_tracks_of_unlinked_detections_skip_the_fixpoint(spark, monkeypatch):
             root, n = up[root], n + 1
         assert got[d] == (root, n)
     assert len(got) == len(rows) and sizes == [len(up)]
+
+
+def test_neighbours_of_crowds_are_made_last(spark, monkeypatch):
+    monkeypatch.setattr(D, "CHUNK", 64, raising=False)
+    rows = _detections(np.random.default_rng(7), 200, 150)
+    det = spark.createDataFrame([*rows, (9999, None, 1, 1), (9998, 1, None, 1)], "det_id long, frame int, x long, y long")
+    got = D.neighbours(det, 3)
+    found = [tuple(r) for r in got.collect()]
+    want = [(a, b, 1, d) for a, b, d in _pairs(rows, 3)]
+    assert len(want) > 22_500 and sorted(found) == sorted(want)
+    assert _rows_joined(got) < 5_000  # places and chunks, not ids
+    flat = det.withColumn("x", det["x"] * 0.1).withColumn("y", det["y"] / 7.0)
+    assert D.neighbours(flat, 0.35, 2).count() == sum(
+        1 for _, f, x, y in rows for _, f2, x2, y2 in rows if 1 <= f2 - f <= 2 and (x * 0.1 - x2 * 0.1) * (x * 0.1 - x2 * 0.1) + (y / 7.0 - y2 / 7.0) * (y / 7.0 - y2 / 7.0) <= 0.35 * 0.35
+    )
