@@ -7,6 +7,7 @@ import pytest
 
 from voxelith.functions import kernels as K
 from voxelith.operators import tracks as D
+from voxelith.operators import voxel as V
 from voxelith.plans import pipeline as P
 from voxelith.plans.queries import QUERIES
 from voxelith.plans.views import view
@@ -148,3 +149,16 @@ def test_neighbours_of_crowds_are_made_last(spark, monkeypatch):
     assert D.neighbours(flat, 0.35, 2).count() == sum(
         1 for _, f, x, y in rows for _, f2, x2, y2 in rows if 1 <= f2 - f <= 2 and (x * 0.1 - x2 * 0.1) * (x * 0.1 - x2 * 0.1) + (y / 7.0 - y2 / 7.0) * (y / 7.0 - y2 / 7.0) <= 0.35 * 0.35
     )
+
+
+def test_correlation_of_a_constant_image(spark):
+    grid = [(x, y, 1) for x in range(4) for y in range(4)]
+    image = lambda f: spark.createDataFrame([(*p, f(*p)) for p in grid], "x long, y long, z int, v int")
+    flat, slope = image(lambda *p: 50), image(lambda x, y, z: 3 * x + y * y)
+    for a, b in ((flat, flat), (flat, slope), (slope, flat)):
+        r = V.correlation(a, b).first()
+        assert np.isnan(r.r) and r.ssd == round(np.mean([(p.v - q.v) ** 2 for p, q in zip(a.orderBy("x", "y").collect(), b.orderBy("x", "y").collect(), strict=True)]), 6)
+    other = image(lambda x, y, z: x * y)
+    want = np.corrcoef([3 * x + y * y for x, y, _ in grid], [x * y for x, y, _ in grid])[0, 1]
+    assert V.correlation(slope, other).first().r == round(want, 6)
+    assert V.correlation(flat, flat.where("x < 0")).first().r is None

@@ -155,7 +155,12 @@ def otsu(hist: DataFrame) -> DataFrame:
 
 
 def correlation(a: DataFrame, b: DataFrame) -> DataFrame:
-    return pair(a, b).agg(F.round(F.corr("v", "w"), 6).alias("r"), F.round(F.avg(F.pow(F.col("v") - F.col("w"), F.lit(2.0))), 6).alias("ssd"))
+    """Correlation r and mean squared difference. r is NaN where an image is constant, null where no voxel has both values."""
+    v, w = (F.when(F.col("v").isNotNull() & F.col("w").isNotNull(), F.col(c)) for c in ("v", "w"))
+    spread = F.stddev_pop(v) * F.stddev_pop(w)
+    flat = (F.min(v) == F.max(v)) | (F.min(w) == F.max(w))
+    r = F.when(flat, F.lit(float("nan"))).otherwise(F.covar_pop("v", "w") / F.nullif(spread, F.lit(0.0)))
+    return pair(a, b).agg(F.round(r, 6).alias("r"), F.round(F.avg(F.pow(F.col("v") - F.col("w"), F.lit(2.0))), 6).alias("ssd"))
 
 
 # --- windows along an axis ------------------------------------------------------
