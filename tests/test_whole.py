@@ -162,3 +162,36 @@ def test_correlation_of_a_constant_image(spark):
     want = np.corrcoef([3 * x + y * y for x, y, _ in grid], [x * y for x, y, _ in grid])[0, 1]
     assert V.correlation(slope, other).first().r == round(want, 6)
     assert V.correlation(flat, flat.where("x < 0")).first().r is None
+
+
+def test_cheapest_tracks_of_crowds(spark):
+    from time import process_time
+
+    rng = np.random.default_rng(8)
+    rows = [(k, int(f), 0, int(y)) for k, (f, y) in enumerate(zip(rng.permutation(np.repeat(np.arange(1, 7), 30)), rng.integers(0, 7, 180), strict=True))]
+    into, alive = {d: [] for d, *_ in rows}, {d for d, *_ in rows}
+    for a, b, d2 in _pairs(rows, 2):
+        into[b].append((a, d2 - 5.0))
+    order = sorted((f, d) for d, f, *_ in rows)
+    want = []
+    while True:  # all is found anew for each path
+        best = {}
+        for _, n in order:
+            if n in alive:
+                best[n] = min([(0.0, -1), *((best[a][0] + c, a) for a, c in into[n] if a in alive)])
+        if not best or min(best.values())[0] >= 0:
+            break
+        path, n = [], min(best, key=lambda n: (best[n][0], n))
+        while n != -1:
+            path.insert(0, n)
+            n = best[n][1]
+        alive -= set(path)
+        want += [(0, len({t for _, t, *_ in want}), k, n) for k, n in enumerate(path)]
+    got = P.track_query(spark.createDataFrame(rows, "det_id long, frame int, x long, y long"))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+    links = spark.createDataFrame([(0, rows[a][1], a, rows[b][1], b, d2 - 5.0) for a, b, d2 in _pairs(rows, 2)], "x long, frame int, a long, frame2 int, b long, cost double")
+    assert sorted(map(tuple, D.cheapest_tracks(links, "x").collect())) == want
+    queues = [[10_000 * k + i for i in range(10_000)] for k in range(3)]
+    began = process_time()
+    tracks = D.peel([[], [(0, -1.0)], [(1, -1.0), (0, -1.0)]], [1, 2, 3], queues)
+    assert tracks == [[i, 10_000 + i, 20_000 + i] for i in range(10_000)] and process_time() - began < 20

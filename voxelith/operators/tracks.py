@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,40 +89,117 @@ def segment_cost(links: DataFrame, img: DataFrame, samples: int = 5) -> DataFram
     return p.join(img.groupBy("x", "y").agg(F.max("v").alias("v")), ["x", "y"], "left").groupBy("link_id").agg(F.round(F.avg(F.coalesce("v", F.lit(0))), 6).alias("mean"))
 
 
+def peel(into: list[list[tuple[int, float]]], frames: list, queues: list[list], least: int = 2, most: int | None = None) -> list[list]:
+    """Repeated cheapest path in one graph: the ids of each path, those of under ``least`` left out.
+
+    Nodes are numbers; a node stands for the ids of its queue (ascending), which have the same links, and a path takes the first. into: (node before, cost) of each node; frames: the time of each. Ties go to the path's begin, else to the smallest id before; of path ends to the smallest id. Taking a path makes others dearer only, so just the nodes that were best reached over it are looked at again.
+    """
+    n = len(queues)
+    out: list[list[int]] = [[] for _ in range(n)]
+    for b, links in enumerate(into):
+        for a in {a for a, _ in links}:
+            out[a].append(b)
+    at, cost, via = [0] * n, [0.0] * n, [-1] * n
+
+    def look(b: int) -> None:
+        best, first, node = 0.0, None, -1
+        for a, c in into[b]:
+            if at[a] < len(queues[a]):
+                v = cost[a] + c
+                if v < best or v == best and node >= 0 and queues[a][at[a]] < first:
+                    best, first, node = v, queues[a][at[a]], a
+        cost[b], via[b] = best, node
+
+    for b in sorted(range(n), key=frames.__getitem__):
+        look(b)
+    ends = [(cost[k], queues[k][0], k) for k in range(n) if cost[k] < 0]
+    heapq.heapify(ends)
+    tracks: list[list] = []
+    while ends and (most is None or len(tracks) < most):
+        c, first, k = heapq.heappop(ends)
+        if at[k] >= len(queues[k]) or queues[k][at[k]] != first or cost[k] != c:
+            continue  # taken or dearer meanwhile; it was put in again then
+        path = []
+        while k >= 0:
+            path.append(k)
+            k = via[k]
+        if len(path) >= least:
+            tracks.append([queues[k][at[k]] for k in reversed(path)])
+        todo: list = []
+        waiting: set[int] = set()
+        for k in path:
+            at[k] += 1
+            if at[k] < len(queues[k]) and cost[k] < 0:
+                heapq.heappush(ends, (cost[k], queues[k][at[k]], k))
+        for k in path:
+            for b in out[k]:
+                if via[b] == k and b not in waiting:
+                    waiting.add(b)
+                    heapq.heappush(todo, (frames[b], b))
+        while todo:
+            _, b = heapq.heappop(todo)
+            if at[b] >= len(queues[b]):
+                continue
+            old = cost[b]
+            look(b)
+            if cost[b] != old:
+                if cost[b] < 0:
+                    heapq.heappush(ends, (cost[b], queues[b][at[b]], b))
+                for d in out[b]:
+                    if via[d] == b and d not in waiting:
+                        waiting.add(d)
+                        heapq.heappush(todo, (frames[d], d))
+    return tracks
+
+
+def _track_rows(key, by: str, tracks: list[list]) -> pd.DataFrame:
+    rows = [(key[0], t, k, n) for t, ids in enumerate(tracks) for k, n in enumerate(ids)]
+    return pd.DataFrame(rows, columns=[by, "track", "seq", "det_id"]).astype({"track": "int64", "seq": "int64", "det_id": "int64"})
+
+
 def cheapest_tracks(links: DataFrame, by: str, least: int = 2, most: int | None = None) -> DataFrame:
     """Repeated cheapest path in each group's graph (by, frame, a, frame2, b, cost): paths with cost under 0 are taken out one by one until there is none, or ``most`` are found. One group a task."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         frame = dict(zip(pdf["a"], pdf["frame"], strict=True)) | dict(zip(pdf["b"], pdf["frame2"], strict=True))
-        into: dict = {}
-        for a, b, c in sorted(zip(pdf["a"], pdf["b"], pdf["cost"], strict=True)):
-            into.setdefault(b, []).append((a, c))
-        alive, rows, track = set(frame), [], 0
-        order = sorted(frame, key=lambda n: (frame[n], n))
-        while most is None or track < most:
-            best: dict = {}
-            for n in order:
-                if n in alive:
-                    best[n] = min([(0.0, -1), *((best[a][0] + c, a) for a, c in into.get(n, ()) if a in alive)])
-            if not best:
-                break
-            end = min(best, key=lambda n: (best[n][0], n))
-            if best[end][0] >= 0:
-                break
-            path, n = [], end
-            while n != -1:
-                path.append(n)
-                n = best[n][1]
-            alive -= set(path)
-            if len(path) >= least:
-                rows += [(key[0], track, k, n) for k, n in enumerate(reversed(path))]
-                track += 1
-        return pd.DataFrame(rows, columns=[by, "track", "seq", "det_id"]).astype({"track": "int64", "seq": "int64", "det_id": "int64"})
+        ids = sorted(frame)
+        place = {n: k for k, n in enumerate(ids)}
+        into: list[list[tuple[int, float]]] = [[] for _ in ids]
+        for a, b, c in zip(pdf["a"], pdf["b"], pdf["cost"], strict=True):
+            into[place[b]].append((place[a], c))
+        return _track_rows(key, by, peel(into, [frame[n] for n in ids], [[n] for n in ids], least, most))
 
     run.__annotations__ = {}
     return links.groupBy(by).applyInPandas(run, f"{by} {dict(links.dtypes)[by]}, track long, seq long, det_id long")
 
 
+def cheapest_tracks_along(det: DataFrame, by: str, along: str, reach: float, gain: float, least: int = 2, most: int | None = None) -> DataFrame:
+    """cheapest_tracks of detections (det_id, frame, by, along) in groups of equal ``by``, with links to the next frame within reach along the other axis and squared distance - gain as cost. Links are between places and are found in the group's task, so there are no rows of links; the tracks are the same."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        groups = [(p, sorted(set(ids.tolist()))) for p, ids in pdf.groupby(["frame", along])["det_id"]]
+        places, queues = [p for p, _ in groups], [ids for _, ids in groups]
+        into: list[list[tuple[int, float]]] = [[] for _ in places]
+        frames, at = np.array([p[0] for p in places]), np.array([p[1] for p in places])
+        bounds = {f: (int(np.searchsorted(frames, f)), int(np.searchsorted(frames, f, "right"))) for f in np.unique(frames)}
+        for f, (low, high) in bounds.items():
+            before = bounds.get(f - 1)
+            if before is None:
+                continue
+            own = at[before[0] : before[1]]
+            lows, highs = np.searchsorted(own, at[low:high] - 1.001 * reach), np.searchsorted(own, at[low:high] + 1.001 * reach, "right")
+            for b in range(low, high):
+                for a in range(before[0] + int(lows[b - low]), before[0] + int(highs[b - low])):
+                    d2 = (at[a] - at[b]) * (at[a] - at[b])
+                    if d2 <= reach * reach:
+                        into[b].append((a, float(d2 - gain)))
+        return _track_rows(key, by, peel(into, frames.tolist(), queues, least, most))
+
+    run.__annotations__ = {}
+    rows = det.select("det_id", "frame", by, along).dropna()
+    return rows.groupBy(by).applyInPandas(run, f"{by} {dict(det.dtypes)[by]}, track long, seq long, det_id long")
+
+
 def weibull3(values: np.ndarray, n: int = 200) -> tuple[float, float, float]:
     """Shape, scale and weighted squared error of one Weibull distribution fitted on the cumulative by least squares over its linear form."""
     x = np.sort(values[values > 0])

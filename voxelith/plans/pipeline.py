@@ -134,10 +134,7 @@ def match_query(img: DataFrame) -> DataFrame:
 
 def track_query(det: DataFrame) -> DataFrame:
     """Cheapest tracks inside each column of the field."""
-    n = D.neighbours(det, 2)
-    f = det.select("det_id", "frame", "x")
-    links = n.join(f.select("det_id", "frame", "x"), "det_id").join(f.select(F.col("det_id").alias("other"), F.col("frame").alias("frame2"), F.col("x").alias("x2")), "other").where("x = x2")
-    return D.cheapest_tracks(links.select("x", "frame", F.col("det_id").alias("a"), "frame2", F.col("other").alias("b"), (F.col("d2") - 5.0).alias("cost")), "x", 2)
+    return D.cheapest_tracks_along(det, "x", "y", 2, 5.0)
 
 
 def inr_round_trip(img: DataFrame) -> DataFrame:
