@@ -231,3 +231,36 @@ def test_a_chain_of_links_takes_few_rounds(spark, monkeypatch):
 def test_numerals_are_no_letters():
     tools = langid.compressors([("en", b" the and of to in is that ", 1), ("de", b" der die und das ist ein ", 1)])
     assert langid.classify("½ ²³ ① 12", tools)[0] == "und" and langid.classify("the and", tools)[0] == "en"
+
+
+def test_batches_of_the_pipeline_are_small(spark):
+    import corpus_pipeline as P
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        P.staged(lambda spark, docs, sf_dir: docs)(spark, spark.range(1), "")
+        wide = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 8000) AS text")
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+        got = wide.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r["size"] for r in got) < 1.1 * P.BATCH_BYTES
+    finally:
+        spark.conf.unset(name)
+
+
+def test_index_of_a_large_shard(spark):
+    texts = [" ".join(f"t{(k * j) % 97}" for j in range(30_000)) for k in range(1, 6)] + [None, "last one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    row = decontam.build_index(docs).collect()
+    assert len(row) == 1 and row[0].doc_ends == [30_000, 60_000, 90_000, 120_000, 150_000, 150_000, 150_002]
+    words = [w for t in texts for w in decontam.words(t)]
+    at, flat = 0, np.frombuffer(row[0].postings, "<u4")
+    for term, n in zip(row[0].terms, row[0].counts, strict=True):
+        assert flat[at : at + n].tolist() == [k for k, w in enumerate(words) if w == term]
+        at += n
+    assert at == len(words)

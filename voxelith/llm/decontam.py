@@ -60,10 +60,12 @@ def build_index(docs: DataFrame, shard_words: int = 1_000_000) -> DataFrame:
     """Shards of docs (doc_id, text), of about so many words, with the postings of every term. ``shard`` is a number of the row: write the index before it is searched."""
 
     def build(batches):
-        ids, ends, held = [], [], []
+        # words wait in Arrow, not as objects; few of the newest aside
+        ids, ends, held, parts, size = [], [], [], [], 0
 
         def shard():
-            found = pa.array(held, pa.binary()).dictionary_encode()
+            parts.append(pa.array(held, pa.binary()))
+            found = pa.concat_arrays(parts).dictionary_encode()
             codes = found.indices.to_numpy().astype(np.int64)
             keys = codes << 32 | np.arange(len(codes))
             keys.sort()
@@ -74,12 +76,17 @@ def build_index(docs: DataFrame, shard_words: int = 1_000_000) -> DataFrame:
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                held.extend(raw_words(text.as_buffer().to_pybytes()) if text.is_valid else ())
+                own = raw_words(text.as_buffer().to_pybytes()) if text.is_valid else ()
+                held.extend(own)
+                size += len(own)
                 ids.append(doc)
-                ends.append(len(held))
-                if len(held) >= shard_words or len(ids) >= 20_000:
+                ends.append(size)
+                if size >= shard_words or len(ids) >= 20_000:
                     yield shard()
-                    ids, ends, held = [], [], []
+                    ids, ends, held, parts, size = [], [], [], [], 0
+                elif len(held) >= 50_000:
+                    parts.append(pa.array(held, pa.binary()))
+                    held = []
         if ids:
             yield shard()
 
