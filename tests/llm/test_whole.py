@@ -55,6 +55,35 @@ def test_near_dedup_reaches_the_threshold(spark):
     assert 20 < len(want) < len(texts)
 
 
+def test_a_pair_below_the_threshold_is_made_about_once(spark, monkeypatch):
+    from voxelith.llm import common, neardup
+
+    rng = np.random.default_rng(11)
+    base, texts = [f"w{k}" for k in range(600)], []
+    for _ in range(30):  # far enough from each other not to be linked, but with most shingles in common
+        copy = list(base)
+        for k in rng.choice(range(5, 595, 6), 10, replace=False):
+            copy[k] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(copy))
+    for k in range(4):
+        texts.append(" ".join([*texts[k].split()[:-1], "end"]))
+    made, plain = [], neardup.verified
+
+    def counted(pairs, *args):
+        pairs = common.materialise(pairs, "made")
+        made.append((pairs.count(), pairs.distinct().count()))
+        return plain(pairs, *args)
+
+    monkeypatch.setattr(neardup, "verified", counted)
+    keyed = common.materialise(spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3), "keyed")
+    got = {r.row: r.component for r in neardup.near_copies(keyed).collect()}
+    want = brute_near(texts)
+    assert len(set(want)) > 20
+    assert {frozenset(k for k in got if got[k] == c) for c in set(got.values())} == {frozenset(k for k, x in enumerate(want) if x == c) for c in set(want)}
+    rows, distinct = made[-1]
+    assert distinct > 100 and rows < 2 * distinct
+
+
 def test_one_index_serves_any_benchmark(spark):
     rng = np.random.default_rng(8)
     texts = [" ".join(f"t{k}" for k in rng.integers(0, 40, int(rng.integers(0, 60)))) for _ in range(40)] + [None, "", "Caf\u00e9 \u00a0NA\u00cfVE x-Y\u20039 " * 6]
