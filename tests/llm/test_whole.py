@@ -148,6 +148,18 @@ def test_lm_trains_on_all_words_and_ends(spark, monkeypatch):
     assert model["tokens"] == sum(count.values()) and model["distinct"] == len(count) and trained["steps"] == lm.ROUNDS and plain is lm.gradients
 
 
+def test_lm_batches_end_at_few_megabytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64MB")
+    try:
+        docs = spark.createDataFrame([(1, "one two"), (2, None)], DOC)
+        assert lm.score(docs, packing.tokenizer_path("byte_bpe_50k.tiktoken")).count() == 2
+        assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() == 4 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_lm_deals_whole_counts_to_steps(spark):
     rows = [(f"w{k}", k % 2, n) for k, n in enumerate([1, 64, 65, 200, 300_000])]
     words = spark.createDataFrame(rows + [(f"x{k}", 1, 1) for k in range(9000)], "word string, mode int, n long")
