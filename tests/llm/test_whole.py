@@ -160,6 +160,21 @@ def test_lm_batches_end_at_few_megabytes(spark):
         spark.conf.set(name, before)
 
 
+def test_workers_drop_what_other_work_left():
+    from voxelith.llm import common, words
+
+    def seen(batches):
+        yield len(words._TABLES)
+
+    kept = dict(words._TABLES)
+    try:
+        words._TABLES["a path"] = None
+        assert list(common.lean(seen, keeps=True)([])) == [len(kept) + 1]
+        assert list(common.lean(seen)([])) == [0]
+    finally:
+        words._TABLES.update(kept)
+
+
 def test_lm_deals_whole_counts_to_steps(spark):
     rows = [(f"w{k}", k % 2, n) for k, n in enumerate([1, 64, 65, 200, 300_000])]
     words = spark.createDataFrame(rows + [(f"x{k}", 1, 1) for k in range(9000)], "word string, mode int, n long")
