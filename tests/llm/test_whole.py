@@ -320,3 +320,18 @@ def test_index_of_a_large_shard(spark):
         assert flat[at : at + n].tolist() == [k for k, w in enumerate(words) if w == term]
         at += n
     assert at == len(words)
+
+
+def test_packing_keeps_small_word_tables():
+    """A table of 600,000 different words stays below 60 MB, and words that it has dropped get the same ids again."""
+    import sys
+
+    from voxelith.llm import packing, words
+
+    tool = words.WordTable(packing.tokenizer_path())
+    for k in range(10):
+        list(tool.ids([" ".join(f"w{i}q" for i in range(60_000 * k, 60_000 * (k + 1)))]))
+    size = sys.getsizeof(tool.known) + sum(sys.getsizeof(w) + sys.getsizeof(ids) for w, ids in tool.known.items())
+    assert size < 60_000_000
+    text = "w7q the words w310000q, w599999q and naïve Ünïcode 雪!"
+    assert list(tool.ids([text])) == tool.encode_each([text])
