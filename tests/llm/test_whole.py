@@ -1,5 +1,6 @@
 """Whole results where an earlier version gave less: near copies, long turns, blocks of windows, far terms, whole texts."""
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -212,6 +213,86 @@ def test_attention_between_words_is_that_of_a_plain_loop():
             k += 1
 
 
+def text_model(rng):
+    w = {k: x.astype(np.float64) for k, x in lm.text_weights(rng.integers(1, 50, lm.CLASSES)).items()}
+    for k in ("u", "near", "b", "ib"):
+        w[k] = rng.normal(0, 0.3, w[k].shape)
+    return w
+
+
+def test_lm_between_words_is_a_plain_causal_attention():
+    rng = np.random.default_rng(4)
+    w, sizes, deep = text_model(rng), [1, 5, 0, 32, 33, 64, 100, 150], lm.WIDTH // lm.HEADS
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    out = rng.integers(0, lm.CLASSES, bounds[-1])
+    for size in (1, 3, 64):
+        got = lm.class_logs(w, out, bounds, size)
+        for a, b in zip(bounds, bounds[1:]):
+            inp = np.concatenate([[lm.BEFORE], out[a:b]])
+            q, k, v = (w["e"][inp] @ w["qkv"]).reshape(-1, 3, lm.HEADS, deep).transpose(1, 2, 0, 3)
+            for t in range(b - a):
+                seen = np.arange(max(0, t // lm.SPAN * lm.SPAN - lm.SPAN), t + 1)
+                mixed = []
+                for h in range(lm.HEADS):
+                    x = np.exp(k[h, seen] @ q[h, t] / np.sqrt(deep) + w["near"][h, t - seen])
+                    mixed.append(x / x.sum() @ v[h, seen])
+                z = w["e"][inp[t]] + np.concatenate(mixed) @ w["o"]
+                z = z + np.maximum(z @ w["i"] + w["ib"], 0) @ w["j"]
+                p = np.exp(z @ w["u"] + w["b"])
+                assert abs(got[a + t] - np.log(p[out[a + t]] / p.sum())) < 1e-5
+
+
+def test_lm_gradients_between_words():
+    rng = np.random.default_rng(6)
+    w, bounds = text_model(rng), np.array([0, 3, 40, 140])
+    out, weights = rng.integers(0, 40, 140), rng.random(140)
+    loss = lambda: -float((weights * lm.class_logs(w, out, bounds)).sum() / weights.sum())
+    g = lm.text_gradients(w, out, bounds, weights)
+    assert set(g) == set(w)
+    for k in g:
+        for i in (np.unravel_index(np.abs(g[k]).argmax(), g[k].shape), np.unravel_index(rng.integers(g[k].size), g[k].shape)):
+            keep, e = w[k][i], 1e-4
+            w[k][i] = keep + e
+            hi = loss()
+            w[k][i] = keep - e
+            lo = loss()
+            w[k][i] = keep
+            assert abs((hi - lo) / (2 * e) - g[k][i]) < 1e-7 + 0.01 * abs(g[k][i]), k
+
+
+def test_lm_trains_between_words_on_every_place_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, lm.CLASSES, n).astype(np.uint8) for n in (1, 70, 5000, 3, 20_000)]
+    rows = pa.RecordBatch.from_pydict({"trainer": pa.array([0, 0, 0, 1, 1], pa.int32()), "ids": [x.tobytes() for x in texts], "weight": [1.0, 2.0, 1.0, 1.0, 1.0]})
+    got = {0: [], 1: []}
+    for trainer, out, bounds, weights in lm.text_steps(iter([rows.slice(0, 2), rows.slice(2)])):
+        assert bounds[-1] == len(out) == len(weights)
+        got[trainer] += list(zip(out[weights > 0].tolist(), weights[weights > 0].tolist()))
+    want = [[(c, float(k == 1) + 1) for k in own for c in texts[k].tolist()] for own in ((0, 1, 2), (3, 4))]
+    assert [got[0], got[1]] == want
+    # a piece of a long text has the keys that it has in the whole text
+    w, (part, weights) = text_model(rng), list(lm.pieces(texts[2], 1.0))[1]
+    whole, cut = lm.class_logs(w, texts[2].astype(int), np.array([0, 5000])), lm.class_logs(w, part, np.array([0, len(part)]))
+    assert np.allclose(whole[lm.PLACES : 2 * lm.PLACES], cut[weights > 0], atol=1e-5)
+
+
+def test_lm_score_depends_on_the_words_before(spark):
+    """Words come in a fixed turn in training: the same words in another order are less likely."""
+    path = packing.tokenizer_path("byte_bpe_50k.tiktoken")
+    names, rng = ["alpha", "beta", "gamma", "delta", "epsilon"], np.random.default_rng(9)
+    texts = [" ".join(names[(i + k) % 5] for i in range(200)) for k in range(5) for _ in range(60)]
+    turn, mixed = texts[0].split(), rng.permutation(texts[0].split()).tolist()
+    rows = [(k, t) for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5 != 1]
+    held = [k for k in range(1000, 2000) if zlib.crc32(str(k).encode()) % 5 == 1][:2]
+    docs = spark.createDataFrame([*rows, (held[0], " ".join(turn)), (held[1], " ".join(mixed))], DOC)
+    got = {r.doc_id: r for r in lm.score(docs, path).collect()}
+    a, b = (got[k] for k in held)
+    assert a.held_out and b.held_out and abs(a.base_score - b.base_score) < 1e-6 and a.n_known == b.n_known == 201
+    assert a.score > b.score + 50 and a.score > a.base_score + 50
+
+
 def test_long_and_null_turns_keep_their_lines_in_order(spark, tmp_path):
     body = [f"{9999 - k} of many" for k in range(1500)]
     turns = [(1, 0, "user", "what is it?"), (1, 1, "assistant", "\n".join(body)), (1, 2, "user", "and then?"), (2, 0, "user", "hello?"), (2, None, "assistant", "the end")]
