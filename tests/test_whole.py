@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelith.functions import kernels as K
 from voxelith.operators import tracks as D
@@ -95,7 +96,7 @@ def _nearest(rows, reach):
     return {(a, b) for a, (_, b) in best.items() if back[b][1] == a}
 
 
-def _rows_joined(df):
+def _rows_joined(df, name="Join"):
     """Rows that the joins of the collected query gave at most."""
     found = 0
     todo = [df._jdf.queryExecution().executedPlan()]
@@ -107,7 +108,7 @@ def _rows_joined(df):
             todo.append(p.plan())
         kids = p.children()
         todo += [kids.apply(k) for k in range(kids.size())]
-        if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+        if name in p.nodeName() and p.metrics().contains("numOutputRows"):
             found = max(found, p.metrics().apply("numOutputRows").value())
     return found
 
@@ -151,6 +152,26 @@ def test_neighbours_of_crowds_are_made_last(spark, monkeypatch):
     )
 
 
+def test_neighbours_of_a_crowd_leave_bit_by_bit(spark):
+    det = spark.range(3000).selectExpr("nullif(id, 7) AS det_id", "CAST(id % 2 AS INT) AS frame", "id * 0 AS x", "id * 0 AS y")
+    got = D.neighbours(det, 3)
+    one = got.limit(1)
+    assert len(one.collect()) == 1 and 0 < _rows_joined(one, "Generate") < 100_000  # not all pairs of the place
+    n = got.agg(F.count("*"), F.count("det_id"), F.countDistinct("det_id"), F.countDistinct("other"), F.countDistinct("det_id", "other")).first()
+    assert tuple(n) == (1500 * 1500, 1500 * 1500, 1500, 1499, 1500 * 1499)
+
+
+def test_neighbours_in_one_bucket_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(D, "CHUNK", 64)
+    monkeypatch.setattr(D, "PIECE", 8, raising=False)
+    rows = [(k, k % 2, k // 2 % 3, k // 6 % 3) for k in range(1200)]
+    got = D.neighbours(spark.createDataFrame(rows, "det_id long, frame int, x long, y long"), 2)
+    want = [(a, b, 1, d) for a, b, d in _pairs(rows, 2)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == len(want) and max(shares) < len(want) / 2
+
+
 def test_correlation_of_a_constant_image(spark):
     grid = [(x, y, 1) for x in range(4) for y in range(4)]
     image = lambda f: spark.createDataFrame([(*p, f(*p)) for p in grid], "x long, y long, z int, v int")
